@@ -59,3 +59,23 @@ def word_ngrams(words: Column, n: int, fixed: bool = False) -> Column:
         last > 0,
         F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " ")),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """Round a non-negative double by its exact binary value, ties to even, as printf does.
+
+    Spark's own rounding works on the shortest decimal form and so moves some ties. The value
+    is split into two halves short enough for exact products with the scale.
+    """
+    scale = float(10 ** digits)
+
+    def body(x: Column) -> Column:
+        big = x * F.lit(134217729.0)  # 2^27 + 1
+        high = big - (big - x)
+        low = x - high
+        r = F.floor(x * scale).cast("double")
+        side = (high * (2 * scale) - (2 * r + 1)) + low * (2 * scale)
+        up = (side > 0) | ((side == 0) & (r % 2 == 1))
+        return F.when(up, r + 1).otherwise(r) / scale
+
+    return let(value.cast("double"), body)

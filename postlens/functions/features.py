@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .arrays import last_wins, let, occurrences, value_counts, word_ngrams
+from .arrays import last_wins, let, occurrences, round_exact, value_counts, word_ngrams
 from .text import has_text, sentences, whitespace_split, words_and_marks
 from .words import FIVE_W_ONE_H, INTERROGATIVES
 
@@ -131,7 +131,7 @@ def polarity_words(text: Column, lexicon: dict[str, dict[str, list[str]]]) -> Co
 
 
 def _round4(value: Column) -> Column:
-    return F.round(value, 4)
+    return round_exact(value, 4)
 
 
 def _add_occurrences(word: str) -> Callable[[Column, Column], Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import round_exact
 from .ranking import exact_percentiles
 
 
@@ -24,7 +25,7 @@ def objective_label(scored: DataFrame, threshold: float, value: str = "entropy")
 def label_share(labelled: DataFrame) -> DataFrame:
     """Number of rows and of objective ones, and their share to two places."""
     n, hits = F.count(F.lit(1)), F.sum((F.col("label") == "1").cast("long"))
-    return labelled.agg(n.alias("n_rows"), hits.alias("n_objective"), F.round(hits / n, 2).alias("share"))
+    return labelled.agg(n.alias("n_rows"), hits.alias("n_objective"), round_exact(hits / n, 2).alias("share"))
 
 
 def entropy_summary(scored: DataFrame, value: str = "entropy", key: str = "pos") -> DataFrame:
