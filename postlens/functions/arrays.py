@@ -20,11 +20,24 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 
 def value_counts(items: Column) -> Column:
-    """array<string> → array<struct<item, n, first>>, `first` being the 0-based first index.
+    """array<string> → array<struct<item, n>>.
 
     Sorting the array once and cutting it where the value changes counts a document in
     O(n log n) without leaving its row, so term frequencies need no shuffle.
     """
+
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i)))
+        return let(starts, lambda b: F.transform(b, lambda st, k: F.struct(
+            F.get(s, st).alias("item"), (F.coalesce(F.get(b, k + 1), n) - st).cast("long").alias("n"))))
+
+    empty = F.array().cast("array<struct<item:string,n:bigint>>")
+    return let(items, lambda a: F.when(F.size(a) > 0, let(F.sort_array(a), cut)).otherwise(empty))
+
+
+def value_counts_placed(items: Column) -> Column:
+    """As `value_counts`, with `first`, the 0-based first index of each value."""
     pairs = F.sort_array(F.transform(items, lambda t, i: F.struct(t.alias("item"), i.alias("at"))))
 
     def cut(s: Column) -> Column:
@@ -42,23 +55,29 @@ def value_counts(items: Column) -> Column:
 
 
 def last_wins(pairs: Column) -> Column:
-    """array<struct<feature, value>> → same, keeping the last value of each feature."""
-    keyed = F.sort_array(F.transform(pairs, lambda p, i: F.struct(
-        p["feature"].alias("feature"), (-i).alias("o"), p["value"].alias("value"))))
-    return let(keyed, lambda s: F.filter(
-        F.transform(s, lambda p, i: F.when(
-            (i == 0) | (F.get(s, i - 1)["feature"] != p["feature"]),
-            F.struct(p["feature"].alias("feature"), p["value"].alias("value")))),
-        lambda p: p.isNotNull()))
+    """array<struct<feature, value>> → same, keeping the last value of each feature.
+
+    Names are sorted to find repeats; only repeated ones are then looked at with their place.
+    """
+
+    def resolve(ps: Column, names: Column) -> Column:
+        repeated = F.transform(F.filter(value_counts(names), lambda c: c["n"] > 1), lambda c: c["item"])
+        return let(repeated, lambda r: F.when(F.size(r) == 0, ps).otherwise(F.concat(
+            F.filter(ps, lambda p: ~F.array_contains(r, p["feature"])),
+            F.transform(r, lambda name: F.element_at(F.filter(ps, lambda p: p["feature"] == name), -1)))))
+
+    return let(pairs, lambda ps: let(F.transform(ps, lambda p: p["feature"]), lambda names: resolve(ps, names)))
 
 
 def word_ngrams(words: Column, n: int, fixed: bool = False) -> Column:
     """Space-joined n-grams. By default the last one is left out; `fixed` includes it."""
     last = F.size(words) - n + (1 if fixed else 0)
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        grams = F.slice(words, 1, last)
+    else:
+        grams = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws(
+            " ", *[F.get(words, i + k) for k in range(n)]))
+    return F.when(last > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def round_exact(value: Column, digits: int) -> Column:

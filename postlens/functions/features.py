@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .arrays import last_wins, let, occurrences, round_exact, value_counts, word_ngrams
+from .arrays import last_wins, let, occurrences, round_exact, value_counts, value_counts_placed, word_ngrams
 from .text import has_text, sentences, whitespace_split, words_and_marks
 from .words import FIVE_W_ONE_H, INTERROGATIVES
 
@@ -56,31 +56,55 @@ WORD_OPTIONS = {"case_insensitive": True, "strip_entities": True, "strip_punctua
                 "min_token_length": 3, "max_features": 1000}
 
 
+def _strip_entities(text: Column, marks_too: bool) -> Column:
+    """Blank mentions, hash tags and URLs (and marks), with the simplest pattern that can matter."""
+    plain = F.regexp_replace(text, P.MARKS, " ") if marks_too else text
+    return (F.when(text.contains("://"), F.regexp_replace(text, P.ENTITIES, " "))
+            .when(text.contains("@") | text.contains("#"),
+                  F.regexp_replace(text, P.TAGS_AND_MARKS if marks_too else P.TAGS, " "))
+            .otherwise(plain))
+
+
+def _most_frequent(ws: Column, counts: Column, most: int) -> Column:
+    """The `most` highest counts, ties by first place; ranked only in documents that have more."""
+    by_rank = F.sort_array(F.transform(value_counts_placed(ws), lambda c: F.struct(
+        (-c["n"]).alias("r"), c["first"].alias("first"), c["item"].alias("item"))))
+    kept = F.transform(F.slice(by_rank, 1, most), lambda c: F.struct(c["item"].alias("item"), (-c["r"]).alias("n")))
+    return F.when(F.size(counts) <= most, counts).otherwise(kept)
+
+
 def words(text: Column, **options) -> Column:
     """`word_<t>`: counts of cleaned words, the most frequent first, ties by first place."""
     o = {**WORD_OPTIONS, **options}
     t = F.lower(text) if o["case_insensitive"] else text
     if o["strip_entities"]:
-        t = F.regexp_replace(t, P.ENTITIES, " ")
-    if o["strip_punctuation"]:
-        t = F.regexp_replace(t, "[^a-zA-Z0-9]", " ")
-    if o["strip_numbers"]:
+        # marks blanked by a later step need not be blanked here
+        t = let(t, lambda x: _strip_entities(x, marks_too=not o["strip_punctuation"]))
+    if o["strip_punctuation"] and o["strip_numbers"]:
+        t = F.regexp_replace(t, r"\P{Alpha}+", " ")
+    elif o["strip_punctuation"]:
+        t = F.regexp_replace(t, r"\P{Alnum}+", " ")
+    elif o["strip_numbers"]:
         t = F.regexp_replace(t, "[0-9]", " ")
     if o["strip_repeated_chars"]:
-        t = F.regexp_replace(t, rf"([{P.WORD}])\1{{2,}}", " ")
-    if o["stop_words"]:
+        one = r"\p{Alnum}" if o["strip_punctuation"] else f"[{P.WORD}]"
+        t = F.regexp_replace(t, rf"({one})\1{{2,}}", " ")
+    if o["stop_words"] and not o["strip_punctuation"]:
         t = F.translate(t, "_-", "  ")
     ws = whitespace_split(t)
     if o["stop_words"]:
-        ws = F.filter(F.transform(ws, F.lower), lambda w: ~w.isin(list(o["stop_words"])))
+        ws = ws if o["case_insensitive"] else F.transform(ws, F.lower)
+        ws = F.filter(ws, lambda w: ~w.isin(list(o["stop_words"])))
     ws = F.filter(ws, lambda w: F.length(w) >= o["min_token_length"])
-    counts = value_counts(ws)
-    if o["max_features"]:
-        by_rank = F.sort_array(F.transform(counts, lambda c: F.struct(
-            (-c["n"]).alias("r"), c["first"].alias("first"), c["item"].alias("item"))))
-        counts = F.transform(F.slice(by_rank, 1, o["max_features"]),
-                             lambda c: F.struct(c["item"].alias("item"), (-c["r"]).alias("n")))
-    return _if_text(text, F.transform(counts, lambda c: _pair(F.concat(F.lit("word_"), c["item"]), c["n"])))
+    most = o["max_features"]
+
+    def pairs(w: Column) -> Column:
+        counts = value_counts(w)
+        if most:
+            counts = let(counts, lambda c: _most_frequent(w, c, most))
+        return F.transform(counts, lambda c: _pair(F.concat(F.lit("word_"), c["item"]), c["n"]))
+
+    return _if_text(text, let(ws, pairs))
 
 
 def ngrams(text: Column, low: int, high: int, fixed: bool = False) -> Column:
@@ -134,24 +158,24 @@ def _round4(value: Column) -> Column:
     return round_exact(value, 4)
 
 
-def _add_occurrences(word: str) -> Callable[[Column, Column], Column]:
-    return lambda total, sentence: total + occurrences(sentence, F.lit(word))
-
-
 def interrogatives(text: Column) -> Column:
-    """Substring counts of question words per text and share of sentences that hold any."""
+    """Substring counts of question words per text and share of sentences that hold any.
+
+    A question word never spans two sentences, so its count over the text is the sum over
+    the sentences.
+    """
 
-    def pairs(ss: Column) -> Column:
+    def pairs(t: Column, ss: Column) -> Column:
         n = F.size(ss)
-        asking = F.size(F.filter(ss, lambda s: s.rlike("who|what|when|where|why|whose|whom|how")))
+        asking = F.size(F.filter(ss, lambda s: s.rlike(P.ASKING)))
         out = [_pair("num_interrogative_sents", asking),
                _pair("pct_interrogative_sents", _round4(asking / n))]
         for q in INTERROGATIVES:
-            c = F.aggregate(ss, F.lit(0).cast("long"), _add_occurrences(q))
+            c = occurrences(t, F.lit(q))
             out += [_pair(f"num_{q}_sents", c), _pair(f"pct_{q}_sents", _round4(c / n))]
         return F.when(n > 0, F.array(*out)).otherwise(_none())
 
-    return _if_text(text, let(F.transform(sentences(text), F.lower), pairs))
+    return _if_text(text, let(F.lower(text), lambda t: let(sentences(t), lambda ss: pairs(t, ss))))
 
 
 def uppercase(text: Column, fixed: bool = False) -> Column:
@@ -185,9 +209,9 @@ def punctuation(text: Column, fixed: bool = False) -> Column:
 
     The plain count is 1 for every run that occurs; `fixed` counts them.
     """
-    runs = whitespace_split(F.regexp_replace(text, "[a-zA-Z0-9]", " "))
+    runs = whitespace_split(F.regexp_replace(text, r"\p{Alnum}+", " "))
     if fixed:
-        counts = F.transform(value_counts(runs), lambda c: F.struct(c["item"].alias("item"), c["n"].alias("n")))
+        counts = value_counts(runs)
     else:
         counts = F.transform(F.array_distinct(runs), lambda r: F.struct(r.alias("item"), F.lit(1).cast("long").alias("n")))
 

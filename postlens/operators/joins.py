@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
@@ -19,10 +21,13 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
                 limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join the small side by broadcast while it fits, else by a salted shuffle.
 
+    The right side is computed once, into the shared folder, so that measuring it is cheap.
+
     The salt spreads each left key over SALTS partitions and repeats the right row for each
     of them, so one hot key (a word in every post) never lands in one task. Works for
     inner, left, left_semi and left_anti joins.
     """
+    right = cut_lineage(right)
     if measured_bytes(right) <= limit_bytes:
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))

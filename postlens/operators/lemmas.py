@@ -25,7 +25,7 @@ def lemma_table(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
 
     Works on the distinct vocabulary only, and joins it with itself on the candidate form.
     """
-    vocab = corpus.select(F.explode(tokens).alias("word")).distinct()
+    vocab = corpus.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
     wanted = vocab.where(F.length("word") > LONG_WORD).select(
         "word", F.explode(lemma_candidates(F.col("word"))).alias("lemma"))
     known = vocab.select(F.col("word").alias("lemma"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import statistics
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
@@ -15,12 +17,11 @@ from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, truncated
-from ..session import cut_lineage
+from ..session import cut_lineage, reuse
 from .joins import lookup_join
 from .ranking import dense_index
 
@@ -186,21 +187,32 @@ def candidates(model: str, grid: dict | None = None) -> list[dict]:
 
 def _searched(corpus: DataFrame, choices: list[tuple[str, dict]], folds: int, feat: str, norm: str | None,
               parallelism: int, metric: str, max_iter: int) -> list[dict]:
-    """Mean and deviation of a metric for each (model, parameters) over the same folds."""
+    """Mean and deviation of a metric for each (model, parameters) over the same folds.
+
+    Vectors are fitted once per fold, on its training part, and serve all candidates.
+    """
     n = corpus.count()
-    folded = stratified_folds(corpus, folds).persist()
+    folded = stratified_folds(corpus, folds)
     multiclass = corpus.select("label").distinct().limit(3).count() > 2
     evaluator = (MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
                  if metric == "f1_binary" else MulticlassClassificationEvaluator(metricName=metric))
-    pipeline = Pipeline(stages=[])
-    stages = [[*vector_stages(feat, norm), classifier(m, n, p, multiclass, max_iter)] for m, p in choices]
-    grid = ParamGridBuilder().addGrid(pipeline.stages, stages).build()
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-                        foldCol="fold", parallelism=parallelism)
-    fitted = cv.fit(folded)
-    folded.unpersist()
-    return [{"model": m, "params": ", ".join(f"{k}={v}" for k, v in p.items()), "mean": float(a), "std": float(s)}
-            for (m, p), a, s in zip(choices, fitted.avgMetrics, fitted.stdMetrics)]
+    scores: list[list[float]] = [[] for _ in choices]
+    for fold in range(folds):
+        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        vectors = Pipeline(stages=vector_stages(feat, norm)).fit(train)
+        fit_on, judge_on = (reuse(vectors.transform(part).select("label", "features")) for part in (train, test))
+
+        def judged(choice: tuple[str, dict]) -> float:
+            fitted = classifier(choice[0], n, choice[1], multiclass, max_iter).fit(fit_on)
+            return evaluator.evaluate(fitted.transform(judge_on))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            for i, value in enumerate(pool.map(inheritable_thread_target(corpus.sparkSession)(judged), choices)):
+                scores[i].append(value)
+        fit_on.unpersist()
+        judge_on.unpersist()
+    return [{"model": m, "params": ", ".join(f"{k}={v}" for k, v in p.items()),
+             "mean": statistics.fmean(s), "std": statistics.pstdev(s)} for (m, p), s in zip(choices, scores)]
 
 
 def grid_search(corpus: DataFrame, model: str, grid: dict | None = None, folds: int = 10, feat: str = "count",
@@ -268,7 +280,7 @@ def nb_predict(counts: DataFrame, log_probs: DataFrame, priors: dict, key: str =
     classes = sorted(priors)
     wide = log_probs.groupBy("term").agg(
         *[F.max(F.when(F.col(label) == c, F.col("log_prob"))).alias(f"_p{i}") for i, c in enumerate(classes)])
-    joined = lookup_join(counts, cut_lineage(wide), ["term"])
+    joined = lookup_join(counts, wide, ["term"])
     scores = joined.groupBy(key).agg(*[(F.sum(F.col("tf") * F.col(f"_p{i}")) + F.lit(priors[c])).alias(f"_s{i}")
                                        for i, c in enumerate(classes)])
     best = F.array_max(F.array(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("o"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, value_counts
-from ..session import cut_lineage
 from .joins import lookup_join
 from .ranking import dense_index
 
@@ -30,7 +29,7 @@ def drop_common(counts: DataFrame, n_docs: int, max_df: float = 0.8) -> DataFram
     At most (mean distinct terms per document) / max_df terms can be that common, so the
     list of dropped terms stays small however large the vocabulary is.
     """
-    common = cut_lineage(document_frequencies(counts).where(F.col("df") > max_df * n_docs).select("term"))
+    common = document_frequencies(counts).where(F.col("df") > max_df * n_docs).select("term")
     return lookup_join(counts, common, ["term"], "left_anti")
 
 
@@ -69,7 +68,7 @@ def tfidf(corpus: DataFrame, tokens: str = "tokens", key: str = "doc_id", max_df
     freq = document_frequencies(counts)
     if max_df is not None:
         freq = freq.where(F.col("df") <= max_df * n)
-    idf = cut_lineage(freq.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = freq.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     weight = (1 + F.log(F.col("tf"))) if sublinear else F.col("tf")
     rows = lookup_join(counts, idf, ["term"]).select(key, "term", (weight * F.col("idf")).alias("value"))
     return normalize(rows, norm, key) if norm else rows

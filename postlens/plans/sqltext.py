@@ -14,8 +14,14 @@ def in_list(items) -> str:
     return "(" + ", ".join(lit(i) for i in items) + ")"
 
 
+def re2(pattern: str) -> str:
+    """The pattern as a literal, with Java's set names spelled out for RE2."""
+    spelled = pattern.replace(P.SPACE, r"\x09-\x0d\x1c-\x1f\x{85}\p{Z}")
+    return lit(spelled.replace(r"[^\p{Alnum}", "[^0-9A-Za-z").replace(r"\p{Alnum}", "[0-9A-Za-z]"))
+
+
 def rx(expr: str, pattern: str, repl: str) -> str:
-    return f"regexp_replace({expr}, {lit(pattern)}, {lit(repl)}, 'g')"
+    return f"regexp_replace({expr}, {re2(pattern)}, {lit(repl)}, 'g')"
 
 
 def newline_slash(e: str) -> str:
@@ -46,16 +52,16 @@ def tokens(e: str, stops: list[str] | None = None) -> str:
 
 
 def split_ws(e: str) -> str:
-    return f"list_filter(string_split_regex({e}, {lit(P.SPACES)}), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({e}, {re2(P.SPACES)}), lambda w: w <> '')"
 
 
 def sentences(e: str) -> str:
-    marked = f"regexp_replace({e}, {lit(P.SENTENCE_END)}, {lit(chr(92) + '1' + P.SENTENCE_MARK)}, 'g')"
+    marked = rx(e, P.SENTENCE_END, chr(92) + "1" + P.SENTENCE_MARK)
     return f"list_filter(string_split({marked}, {lit(P.SENTENCE_MARK)}), lambda s: s <> '')"
 
 
 def words_and_marks(e: str) -> str:
-    return f"regexp_extract_all({e}, {lit(P.WORD_OR_MARK)})"
+    return f"regexp_extract_all({e}, {re2(P.WORD_OR_MARK)})"
 
 
 def vector_tokens(e: str) -> str:
@@ -63,7 +69,7 @@ def vector_tokens(e: str) -> str:
 
 
 def has_text(e: str) -> str:
-    return f"regexp_matches({e}, {lit('[^' + P.SPACE + ']')})"
+    return f"regexp_matches({e}, {re2('[^' + P.SPACE + ']')})"
 
 
 def one_line(e: str) -> str:

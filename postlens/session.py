@@ -60,6 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: list[str] | None) -> DataFrame:
+    """Give a scan of few row groups enough tasks for costly per-row work.
+
+    A scan with at least one task per core is returned as it is, so large tables are never
+    shuffled here; only a small one, packed in fewer row groups than cores, is hashed on its
+    unique key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not key or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Persist a frame that one query reads several times (lineage is kept)."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
