@@ -41,7 +41,7 @@ def dedupe_first(corpus: DataFrame, key: str = "text", order: str = "doc_id",
     """
     carry = [key] if carry is None else carry
     first = F.min_by(F.struct(*carry), order) if carry else None
-    grouped = corpus.groupBy(F.sha2(F.col(key), 256).alias("_d"))
+    grouped = corpus.groupBy(F.unhex(F.sha2(F.col(key), 256)).alias("_d"))
     if first is None:
         return grouped.agg(F.min(order).alias(order)).drop("_d")
     kept = grouped.agg(F.min(order).alias(order), first.alias("_row"))

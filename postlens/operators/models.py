@@ -322,9 +322,9 @@ def doc_topics(vocab, lda: LDAModel, corpus: DataFrame, least: float = 0.01) ->
 
 def show_topics(vocab, lda: LDAModel, n: int = 10) -> DataFrame:
     """<topic, rank, word, weight>: the n heaviest words of each topic."""
-    spark = lda.describeTopics(1).sparkSession
-    words = spark.createDataFrame(list(enumerate(vocab.vocabulary)), "termIndex int, word string")
-    top = lda.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "t"))
+    described = lda.describeTopics(n)
+    words = described.sparkSession.createDataFrame(list(enumerate(vocab.vocabulary)), "termIndex int, word string")
+    top = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "t"))
     return (lookup_join(top.select("topic", (F.col("i") + 1).alias("rank"), F.col("t.termIndices").alias("termIndex"),
                                    F.col("t.termWeights").alias("weight")), words, ["termIndex"])
             .select("topic", "rank", "word", "weight"))

@@ -66,7 +66,7 @@ def drop_adjacent_duplicates(ranked: DataFrame, text: str = "text") -> DataFrame
     The neighbour is found by an equi-join on the rank, which is unique, so no key is hot;
     a digest stands for the text in the shuffled neighbour side.
     """
-    digest = F.sha2(F.col(text), 256)
+    digest = F.unhex(F.sha2(F.col(text), 256))
     before = ranked.select((F.col("rank") + 1).alias("rank"), digest.alias("_d"))
     return (ranked.withColumn("_d", digest).join(before, ["rank", "_d"], "left_anti").drop("_d"))
 

@@ -84,9 +84,10 @@ def emotion_sql(source="documents", text="text"):
 
 def punctuation_sql(source="documents", fixed=False):
     n = "count(*)" if fixed else "1"
-    return f"""with r as (select doc_id, run, {n}::double as n, any_value(words) as words from (
-    select doc_id, unnest({S.split_ws(S.rx('text', '[a-zA-Z0-9]', ' '))}) as run, len({S.words_and_marks('text')}) as words
-    from {source} where {S.has_text('text')}) group by doc_id, run)
+    return f"""with t as materialized (select doc_id, {S.split_ws(S.rx('text', '[a-zA-Z0-9]', ' '))} as runs,
+    len({S.words_and_marks('text')}) as words from {source} where {S.has_text('text')}),
+r as (select doc_id, run, {n}::double as n, any_value(words) as words
+    from (select doc_id, unnest(runs) as run, words from t) group by doc_id, run)
 select doc_id, 'num_punc_' || run as feature, n as value from r
 union all select doc_id, 'mean_num_punc_' || run, n / words from r"""
 
