@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -21,8 +22,10 @@ def dense_index(df: DataFrame, order: Iterable[str | Column], name: str = "rank"
     place inside the own one; only one count per partition reaches the driver.
     """
     keys = list(order)
-    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the sampling and by the shuffle
+    spread = kept.repartitionByRange(partitions, *keys) if partitions else kept.repartitionByRange(*keys)
     fixed = cut_lineage(spread.sortWithinPartitions(*keys))
+    kept.unpersist()
     counts = dict(fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], start
     for p in range(max(counts, default=-1) + 1):
@@ -84,7 +87,5 @@ def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> D
     The filter sits right on the row number, so Spark keeps only n rows per group and task
     before the shuffle (window group limit).
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

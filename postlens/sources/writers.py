@@ -5,6 +5,7 @@ Lines and fields are kept whole: tabs and line ends inside a text become spaces.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ def write_tsv(df: DataFrame, path: str, columns: list[str], compression: str = "
     df.select(line).write.option("compression", compression).text(path)
 
 
+def _write_sorted(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # a global sort reads its input twice
+    write_tsv(kept.orderBy(*order), path, columns)
+    kept.unpersist()
+
+
 def write_curated(df: DataFrame, path: str) -> None:
     write_tsv(df, path, ["origin", "topics", "text"])
 
@@ -40,7 +47,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def write_ranked(df: DataFrame, path: str) -> None:
     """Ascending by entropy: part files in name order keep the global order."""
-    write_tsv(df.orderBy("entropy", "pos"), path, ["entropy", "dist", "pos", "text"])
+    _write_sorted(df, path, ["entropy", "pos"], ["entropy", "dist", "pos", "text"])
 
 
 def write_labelled(df: DataFrame, path: str) -> None:
@@ -58,7 +65,7 @@ def write_topwords(df: DataFrame, path: str) -> None:
 
 
 def write_clusters(df: DataFrame, path: str) -> None:
-    write_tsv(df.orderBy("cluster", "doc_id"), path, ["cluster", "topic", "text"])
+    _write_sorted(df, path, ["cluster", "doc_id"], ["cluster", "topic", "text"])
 
 
 def write_analysis(df: DataFrame, path: str) -> None:
