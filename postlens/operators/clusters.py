@@ -33,4 +33,4 @@ def distinctive_top_words(docs: DataFrame, n: int, cluster: str = "cluster", tok
     clusters = F.broadcast(top.agg(F.count_distinct(cluster).alias("_k")))  # one row
     spread = top.groupBy("word").agg(F.count(F.lit(1)).alias("_in"))
     common = spread.join(clusters, spread["_in"] == clusters["_k"]).select("word")
-    return lookup_join(top, common, ["word"], "left_anti")
+    return lookup_join(top, common, ["word"], "left_anti").select(*top.columns)
