@@ -13,7 +13,7 @@ from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import LDA, KMeans, LDAModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -75,15 +75,18 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
 def count_stage(min_df: float = 1.0, max_df: float | None = None, terms: int = 1 << 18,
                 output: str = "features") -> CountVectorizer:
     """Token counts over at most `terms` terms: a model's coefficients live on the driver, so
-    its vocabulary is a capacity to be chosen. `require_vocabulary` tells when it is full."""
+    its vocabulary is a capacity to be chosen. `fit_whole` refuses a full one."""
     stage = CountVectorizer(inputCol="tokens", outputCol=output, minDF=min_df, vocabSize=terms)
     return stage.setMaxDF(max_df) if max_df is not None else stage
 
 
-def require_vocabulary(fitted, terms: int = 1 << 18) -> None:
-    """Refuse a vocabulary that was cut: raise `min_df` or `terms` instead."""
-    if len(fitted.vocabulary) >= terms:
-        raise ValueError(f"vocabulary reached its capacity of {terms} terms")
+def fit_whole(pipeline: Pipeline, corpus: DataFrame, terms: int = 1 << 18) -> PipelineModel:
+    """Fit, and refuse a vocabulary that was cut at its capacity: raise `min_df` or `terms`."""
+    model = pipeline.fit(corpus)
+    for stage in model.stages:
+        if isinstance(stage, CountVectorizerModel) and len(stage.vocabulary) >= terms:
+            raise ValueError(f"vocabulary reached its capacity of {terms} terms")
+    return model
 
 
 def vector_stages(feat: str = "count", norm: str | None = None, max_df: float | None = 0.8, min_df: float = 1.0) -> list:
@@ -159,10 +162,10 @@ def train_eval(pipeline: Pipeline, corpus: DataFrame, test_percent: int = 50,
     Returns the model to keep, the training accuracy and <label, prediction> of the held-out
     rows. The model kept is the full fit; `compat` keeps the half-data refit.
     """
-    full = pipeline.fit(corpus)
+    full = fit_whole(pipeline, corpus)
     score = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(full.transform(corpus))
     split = holdout_split(corpus, test_percent)
-    part = pipeline.fit(split.where(~F.col("is_test")))
+    part = fit_whole(pipeline, split.where(~F.col("is_test")))
     held = part.transform(split.where("is_test")).select("doc_id", "label", "prediction")
     return (part if compat else full), score, held
 
@@ -199,7 +202,7 @@ def _searched(corpus: DataFrame, choices: list[tuple[str, dict]], folds: int, fe
     scores: list[list[float]] = [[] for _ in choices]
     for fold in range(folds):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        vectors = Pipeline(stages=vector_stages(feat, norm)).fit(train)
+        vectors = fit_whole(Pipeline(stages=vector_stages(feat, norm)), train)
         fit_on, judge_on = (reuse(vectors.transform(part).select("label", "features")) for part in (train, test))
 
         def judged(choice: tuple[str, dict]) -> float:
@@ -242,7 +245,7 @@ def model_sweep(corpus: DataFrame, models: list[str] = ("lr", "nb", "lsvc", "gnb
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
     rows = _searched(train, [(m, {}) for m in models], folds, "tfidf", None, parallelism, "accuracy", max_iter)
     best = max(rows, key=lambda r: r["mean"])["model"]
-    fitted = classifier_pipeline(best, train.count(), feat="tfidf", max_iter=max_iter).fit(train)
+    fitted = fit_whole(classifier_pipeline(best, train.count(), feat="tfidf", max_iter=max_iter), train)
     return cv_report(corpus, rows), fitted.transform(test).select("doc_id", "label", "prediction")
 
 
@@ -353,7 +356,7 @@ def cluster_classifier(corpus: DataFrame, cluster: str = "cluster", max_iter: in
     labelled = corpus.withColumn("label", F.col(cluster).cast("double"))
     lr = LogisticRegression(family="multinomial", regParam=1.0 / max(labelled.count(), 1), standardization=False,
                             maxIter=max_iter)
-    model = Pipeline(stages=[*vector_stages("tfidf", None, None), lr]).fit(labelled)
+    model = fit_whole(Pipeline(stages=[*vector_stages("tfidf", None, None), lr]), labelled)
     return predict_proba(model, labelled).drop("label", "prediction")
 
 

@@ -38,7 +38,7 @@ def prepared(spark, sf):
 
 def _fitted_predictions(spark, sf, model, params, feat="tfidf"):
     corpus = labelled(spark, sf)
-    fitted = M.classifier_pipeline(model, corpus.count(), params, feat, max_iter=30).fit(corpus)
+    fitted = M.fit_whole(M.classifier_pipeline(model, corpus.count(), params, feat, max_iter=30), corpus)
     return M.predict(fitted, corpus).select("doc_id", "label", "prediction")
 
 
@@ -153,7 +153,7 @@ def argmax_topic(spark, sf):
 
 def _clusters(spark, sf, k=4, restarts=3):
     corpus = prepared(spark, sf)
-    vectors = Pipeline(stages=M.vector_stages("tfidf", None, None, min_df=2.0)).fit(corpus).transform(corpus)
+    vectors = M.fit_whole(Pipeline(stages=M.vector_stages("tfidf", None, None, min_df=2.0)), corpus).transform(corpus)
     model = M.kmeans_fit(vectors, k, restarts)
     return model.transform(vectors).select("doc_id", "tokens", F.col("prediction").alias("cluster"))
 
@@ -172,14 +172,14 @@ def cluster_classifier(spark, sf):
 @query("predict")
 def predict(spark, sf):
     corpus = labelled(spark, sf)
-    model = M.classifier_pipeline("lr", corpus.count(), feat="tfidf", max_iter=30).fit(corpus)
+    model = M.fit_whole(M.classifier_pipeline("lr", corpus.count(), feat="tfidf", max_iter=30), corpus)
     return M.predict(model, unseen(spark, sf)).select("doc_id", "prediction")
 
 
 @query("predict_proba")
 def predict_proba(spark, sf):
     corpus = labelled(spark, sf)
-    model = M.classifier_pipeline("nb", corpus.count()).fit(corpus)
+    model = M.fit_whole(M.classifier_pipeline("nb", corpus.count()), corpus)
     return M.predict_proba(model, unseen(spark, sf)).select("doc_id", F.posexplode("dist").alias("class", "prob"))
 
 
@@ -187,7 +187,7 @@ def predict_proba(spark, sf):
 def save_load_model(spark, sf):
     """Saved, loaded again, and applied to unseen texts."""
     corpus = labelled(spark, sf)
-    model = M.classifier_pipeline("lr", corpus.count(), feat="tfidf", norm="l2", max_iter=20).fit(corpus)
+    model = M.fit_whole(M.classifier_pipeline("lr", corpus.count(), feat="tfidf", norm="l2", max_iter=20), corpus)
     path = fresh_path(spark, "model")
     M.save_model(model, path)
     return M.predict_proba(M.load_model(path), unseen(spark, sf)).select("doc_id", "prediction")

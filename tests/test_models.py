@@ -87,6 +87,11 @@ def test_multiclass_uses_one_against_rest(spark, sf):
     assert {r[0] for r in M.predict(model, talk).select("prediction").distinct().collect()} <= {0.0, 1.0, 2.0}
 
 
+def test_full_vocabulary_is_refused(corpus):
+    with pytest.raises(ValueError):
+        M.fit_whole(M.classifier_pipeline("nb", corpus.count()), corpus, terms=10)
+
+
 def test_unknown_choices_are_refused():
     with pytest.raises(ValueError):
         M.classifier("svc", 10, {"kernel": "rbf"})
