@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, shards, warc
+from . import exact_dedup, mixing, near_dup, shards, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,17 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dup.near_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
     "op6_shards": op6_shards,
+    "op8_near_dup": op8_near_dup,
 }
 
 ORACLE: dict[str, str] = {
@@ -50,10 +56,10 @@ ORACLE: dict[str, str] = {
     "op3_warc": """
         WITH t AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM t),
-        b AS (SELECT *, list_transform(range(8), i -> ('0x' || substr(x, 5 * i + 1, 5))::INT) AS v FROM d)
+        b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::INT) AS v FROM d)
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
-               list_aggregate(list_transform(v, n -> list_aggregate(list_transform([15, 10, 5, 0],
-                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '')
+               list_aggregate(list_transform(v, lambda n: list_aggregate(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '')
                    AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
