@@ -55,6 +55,19 @@ def with_suspicion(rows: DataFrame, digest: Column, filtered: DataFrame, bits: i
     return out.withColumn(name, hits).drop(*[f"{name}_{k}{i}" for k in "bmp" for i in (0, 1)])
 
 
+def only_asked(rows: DataFrame, asked: DataFrame, key: list[str], inside: bool = True) -> DataFrame:
+    """Rows whose key may be among the asked ones, by a broadcast Bloom filter; a few others pass as well.
+
+    What it leaves out never enters a shuffle; a join with `asked` settles the rest. With inside=False, the rows left out.
+    """
+    bits = filter_bits(2 * asked.count())
+    digest = F.xxhash64(*key)
+    marks = asked.select(F.explode(F.array(*_positions(digest, bits))).alias("place")).distinct()
+    bitmap = marks.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bitmap"))
+    return with_suspicion(rows, digest, stored(bitmap, "filter"), bits, "_asked").where(F.col("_asked") == inside).drop("_asked")
+
+
 def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """<key, keep_id, group_size, kept, text_sha256>, one row per input row.
 

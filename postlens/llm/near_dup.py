@@ -17,12 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, ship, stored
 from .components import components
-from .exact_dedup import filter_bits, with_suspicion
+from .exact_dedup import only_asked
 
 SHINGLE, SIMILARITY = 5, 85  # words; per cent
 TREES, DEPTH, LEAST_DEPTH = 16, 12, 4
@@ -183,20 +183,10 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
 
 
-def _only(rows: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
-    """Rows whose id may be among `ids`, by a broadcast Bloom filter of at most 64 MB; some others pass as well."""
-    bits = filter_bits(2 * ids.count())
-    place = [1 + F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit(bits - 1)) for seed in (1, 2)]
-    marks = ids.select(F.explode(F.array(*place)).alias("place")).distinct()
-    bitmap = stored(marks.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bitmap")), "filter")
-    return with_suspicion(rows, key, bitmap, bits, "_asked").where("_asked").drop("_asked")
-
-
 def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """<id, sig, shingles> of the wanted ids, from their texts; other documents don't leave the scan."""
     wanted = reps.join(ids, "id", "left_semi").select("id", "sig")
-    texts = _only(docs, ids, F.col("id")).join(wanted, "id")
+    texts = only_asked(docs, ids, ["id"]).join(wanted, "id")
     return texts.dropDuplicates(["id"]).select("id", "sig", "text").mapInArrow(_gather, "id long, sig binary, shingles binary")
 
 

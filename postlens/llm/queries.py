@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, shards, warc
+from . import exact_dedup, mixing, near_dup, packing, shards, toxicity, warc
 from .common import read
+from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents in sequences of 4096."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of near equal bytes."""
     placed = shards.assign_shards(read(spark, sf_dir, "documents"), 16)
@@ -39,12 +45,20 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of the documents."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op5_packing": op5_packing,
     "op6_shards": op6_shards,
     "op8_near_dup": op8_near_dup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {
