@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, packing, shards, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, shards, toxicity, warc
 from .common import read
 from .tokens import tokenizer_path
 
@@ -51,6 +51,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line equals or is one word away from."""
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op6_shards": op6_shards,
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +84,21 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM b""",
+    "op10_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l,
+                            generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        line AS (SELECT doc_id, k, l, list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
+        long AS (SELECT * FROM line WHERE len(w) >= 8),
+        uniq AS MATERIALIZED (SELECT w, min({'d': doc_id, 'k': k}) AS f FROM long GROUP BY w),
+        cut AS MATERIALIZED (SELECT w, f, p, list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))) AS rest
+                             FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS p FROM uniq)),
+        changed AS (SELECT w FROM (SELECT w, f, min(f) OVER (PARTITION BY p, rest) AS m FROM cut) WHERE m < f),
+        shorter AS (SELECT c.w FROM cut c JOIN uniq u ON u.w = c.rest WHERE u.f < c.f),
+        longer AS (SELECT u.w FROM cut c JOIN uniq u ON u.w = c.rest WHERE c.f < u.f),
+        gone AS (SELECT w FROM changed UNION SELECT w FROM shorter UNION SELECT w FROM longer),
+        dropped AS (SELECT g.doc_id, g.k FROM long g JOIN uniq u ON u.w = g.w
+                    WHERE {'d': g.doc_id, 'k': g.k} > u.f OR g.w IN (SELECT w FROM gone))
+        SELECT r.doc_id, count(*) AS n_lines, count(d.k) AS n_dropped,
+               coalesce(string_agg(r.l, chr(10) ORDER BY r.k) FILTER (WHERE d.k IS NULL), '') AS text
+        FROM raw r LEFT JOIN dropped d ON d.doc_id = r.doc_id AND d.k = r.k GROUP BY r.doc_id""",
 }
