@@ -172,3 +172,14 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     after = cut.select(*[changed.alias(c) if c == text else dropped.alias(c) if c == "n_dropped" else F.col(f"d.{c}").alias(c)
                          for c in ready.columns if c != mark])
     return only_asked(ready, asked, [mark], inside=False).drop(mark).unionByName(after)
+
+
+def without_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with their own columns, repeated lines taken out and n_chars brought up to date.
+
+    A document that lost lines and has no word left goes; others stay, also those that had no word before.
+    """
+    cut = drop_lines(docs, key, text).where(~((F.col("n_dropped") > 0) & (F.btrim(text, F.lit(BLANK_CHARS)) == "")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)

@@ -256,3 +256,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"),
         F.coalesce(F.when(F.col("id").isNotNull(), F.col("root")), F.col("id")).alias("component_id"),
         F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that represent their component, with their own columns; rows that share a key go or stay together.
+
+    Documents outside a Bloom filter of the dropped keys pass straight through.
+    """
+    dropped = stored(near_groups(docs, key, text).where(~F.col("kept")).select(key).distinct(), "dropped")
+    inside = only_asked(docs, dropped, [key])
+    return only_asked(docs, dropped, [key], inside=False).unionByName(inside.join(dropped, key, "left_anti").select(*docs.columns))

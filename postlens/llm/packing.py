@@ -282,13 +282,14 @@ def _filler(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def packed_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """<sequence_id, offset, key, piece, input_ids>: the packed sequences themselves, a row per piece of a sequence.
 
-    Rows are told apart by key and text hash; rows that repeat both are one document.
+    Every row of `docs` is packed. The text of rows that repeat key and text is fetched once and fills the places of all of
+    them. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    once = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
-    once = once.dropDuplicates(["key", "print"]).withColumn("ident", F.struct("key", "print"))
-    placed = pack(once, path, "ident", "text")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
+    placed = pack(rows.withColumn("ident", F.struct("key", "print")), path, "ident", "text")
     places = placed.groupBy("ident").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "length", "sequence_id", "offset"))).alias("places"))
+    once = rows.dropDuplicates(["key", "print"])
     joined = once.join(places, once["key"].eqNullSafe(places["ident"]["key"]) & (once["print"] == places["ident"]["print"]))
     filled = joined.select("key", "text", "places").mapInArrow(_filler(path), f"sequence_id long, offset long, key {kind}, piece int, input_ids array<int>")
     return filled.withColumnRenamed("key", key)

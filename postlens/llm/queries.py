@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dup, packing, shards, toxicity, warc
+from . import chat, exact_dedup, line_dedup, mixing, near_dup, packing, quality, shards, toxicity, warc
 from .common import read
 from .tokens import tokenizer_path
 
@@ -29,6 +29,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdicts of the documents."""
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of the documents in sequences of 4096."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -40,6 +45,11 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations in chat markup."""
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dup.near_groups(read(spark, sf_dir, "documents"))
@@ -60,8 +70,10 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_shards": op6_shards,
+    "op7_chat": op7_chat,
     "op8_near_dup": op8_near_dup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
@@ -84,6 +96,17 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM b""",
+    "op7_chat": """
+        WITH once AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM once),
+        conv AS MATERIALIZED (SELECT conv_id, list({'r': role, 't': text} ORDER BY i) AS l FROM placed GROUP BY conv_id),
+        equal AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies FROM conv GROUP BY l),
+        inner_part AS (SELECT DISTINCT list_slice(l, 1, k) AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM equal)),
+        kept AS (SELECT e.* FROM equal e ANTI JOIN inner_part p ON p.l = e.l)
+        SELECT k.conv_id, ((p.i - 1) // 256)::BIGINT AS part, len(any_value(k.l))::BIGINT AS n_turns, any_value(k.copies) AS copies,
+               string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY p.i) AS text,
+               sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END)::BIGINT AS n_answer_chars
+        FROM kept k JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id, (p.i - 1) // 256""",
     "op10_line_dedup": r"""
         WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l,
                             generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
