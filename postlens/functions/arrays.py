@@ -57,16 +57,20 @@ def value_counts_placed(items: Column) -> Column:
 def last_wins(pairs: Column) -> Column:
     """array<struct<feature, value>> → same, keeping the last value of each feature.
 
-    Names are sorted to find repeats; only repeated ones are then looked at with their place.
+    Where a name repeats, names are sorted with their places and the last of each run stays:
+    O(n log n) however many repeat.
     """
 
-    def resolve(ps: Column, names: Column) -> Column:
-        repeated = F.transform(F.filter(value_counts(names), lambda c: c["n"] > 1), lambda c: c["item"])
-        return let(repeated, lambda r: F.when(F.size(r) == 0, ps).otherwise(F.concat(
-            F.filter(ps, lambda p: ~F.array_contains(r, p["feature"])),
-            F.transform(r, lambda name: F.element_at(F.filter(ps, lambda p: p["feature"] == name), -1)))))
+    def resolve(ps: Column) -> Column:
+        placed = F.sort_array(F.transform(ps, lambda p, i: F.struct(p["feature"].alias("feature"), i.alias("at"))))
+        lasts = let(placed, lambda s: F.filter(s, lambda x, k: ~F.coalesce(F.get(s, k + 1)["feature"] == x["feature"], F.lit(False))))
+        return F.transform(lasts, lambda x: F.get(ps, x["at"]))
 
-    return let(pairs, lambda ps: let(F.transform(ps, lambda p: p["feature"]), lambda names: resolve(ps, names)))
+    def several(ps: Column) -> Column:
+        names = F.transform(ps, lambda p: p["feature"])
+        return F.when(F.size(F.array_distinct(names)) == F.size(ps), ps).otherwise(resolve(ps))
+
+    return let(pairs, several)
 
 
 def word_ngrams(words: Column, n: int, fixed: bool = False) -> Column:

@@ -53,7 +53,7 @@ def emoticons(text: Column, marks: list[str]) -> Column:
 # The default word options.
 WORD_OPTIONS = {"case_insensitive": True, "strip_entities": True, "strip_punctuation": True,
                 "strip_numbers": True, "strip_repeated_chars": True, "stop_words": None,
-                "min_token_length": 3, "max_features": 1000}
+                "min_token_length": 3, "max_features": None}
 
 
 def _strip_entities(text: Column, marks_too: bool) -> Column:

@@ -128,7 +128,8 @@ def preprocess(text: Column, stops: list[str] | None = None) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after runs of . ! ? followed by white space."""
-    marked = F.regexp_replace(text, P.SENTENCE_END, "$1" + P.SENTENCE_MARK)
+    free = F.replace(text, F.lit(P.SENTENCE_MARK), F.lit(""))  # the mark itself never splits
+    marked = F.regexp_replace(free, P.SENTENCE_END, "$1" + P.SENTENCE_MARK)
     return F.filter(F.split(marked, P.SENTENCE_MARK), lambda s: s != "")
 
 

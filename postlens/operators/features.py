@@ -23,10 +23,14 @@ def extract(corpus: DataFrame, options: dict, text: str = "text", key: str = "do
     """All feature families chosen in `options`, in their fixed order, later names winning.
 
     `options` keys: emoticons (list), word_feature (dict), pos (tag → words), fiveWoneH
-    (6 flags), ngrams (low, high), emotion_words (category → words), lsd_words
-    (polarity → kind → words). Punctuation, upper case, interrogatives and sentence length
-    are always extracted. One scan, no shuffle.
+    (6 flags), ngrams (low, high), emotion_words (category → words, or a table
+    <category, word>), lsd_words (polarity → kind → words, or a table <polarity, kind, word>).
+    Punctuation, upper case, interrogatives and sentence length are always extracted. One scan,
+    no shuffle, unless a lexicon is a table: its families are then joined, in their places.
     """
+    tables = [n for n in ("emotion_words", "lsd_words") if isinstance(options.get(n), DataFrame)]
+    if tables:
+        return _extract_with_tables(corpus, options, text, key, preprocessed, stops, fixed)
     raw = F.col(text)
     body = F.col("_body")
     families = []
@@ -51,6 +55,22 @@ def extract(corpus: DataFrame, options: dict, text: str = "text", key: str = "do
     return as_rows(staged, X.merge(*families), key)
 
 
+def _extract_with_tables(corpus: DataFrame, options: dict, text: str, key: str, preprocessed: bool,
+                         stops: list[str] | None, fixed: bool) -> DataFrame:
+    """In-row families before and after the lexicons', and the lexicons' by join; later ones win."""
+    body = preprocess(F.col(text), stops) if preprocessed else F.col(text)
+    cleaned = corpus.select(key, body.alias("text"))
+    rest = {k: v for k, v in options.items() if k not in ("emotion_words", "lsd_words")}
+    parts = [extract(corpus, rest, text, key, preprocessed, stops, fixed)]
+    for name, by_table, in_row in (("emotion_words", emotion_by_table, X.emotion_words), ("lsd_words", polarity_by_table, X.polarity_words)):
+        if isinstance(options.get(name), DataFrame):
+            parts.append(by_table(cleaned, options[name], key))
+        elif name in options:
+            parts.append(as_rows(cleaned, in_row(F.col("text"), options[name]), key))
+    parts.append(as_rows(cleaned, X.merge(X.interrogatives(F.col("text")), X.sentence_lengths(F.col("text"), fixed)), key))
+    return merge_features(parts, key)
+
+
 def merge_features(parts: list[DataFrame], key: str = "doc_id") -> DataFrame:
     """Union of long feature tables; where two give the same feature the later table wins."""
     ranked = reduce(DataFrame.unionByName, [p.withColumn("_o", F.lit(i)) for i, p in enumerate(parts)])

@@ -13,7 +13,7 @@ from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import LDA, KMeans, LDAModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -24,6 +24,7 @@ from ..functions.scores import argmax, truncated
 from ..session import cut_lineage, reuse
 from .joins import lookup_join
 from .ranking import dense_index
+from .vectorize import term_counts
 
 # --- splits -------------------------------------------------------------------------------
 
@@ -54,6 +55,8 @@ def stratified_folds(rows: DataFrame, folds: int = 10, key: str = "doc_id", labe
 
 # --- vectors ------------------------------------------------------------------------------
 
+_EVERY_TERM = 2**31 - 1  # MLlib's largest integer: no vocabulary is that large
+
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
     """tf → tf · (ln((1+n)/(1+df)) + 1): MLlib's IDF lacks the one.
@@ -72,23 +75,13 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
         return ElementwiseProduct(scalingVec=scaling, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
-def count_stage(min_df: float = 1.0, max_df: float | None = None, terms: int = 1 << 18,
-                output: str = "features") -> CountVectorizer:
-    """Token counts over at most `terms` terms: a model's coefficients live on the driver, so
-    its vocabulary is a capacity to be chosen. `fit_whole` refuses a full one."""
-    stage = CountVectorizer(inputCol="tokens", outputCol=output, minDF=min_df, vocabSize=terms)
+def count_stage(min_df: float = 1.0, max_df: float | None = None, output: str = "features") -> CountVectorizer:
+    """Token counts over the whole vocabulary, none of it cut. MLlib keeps a model's coefficients, and so the terms
+    they belong to, on the driver; the aggregate forms (`nb_fit`, `nb_grid_search`, `chi2`, `tfidf`) do not."""
+    stage = CountVectorizer(inputCol="tokens", outputCol=output, minDF=min_df, vocabSize=_EVERY_TERM)
     return stage.setMaxDF(max_df) if max_df is not None else stage
 
 
-def fit_whole(pipeline: Pipeline, corpus: DataFrame, terms: int = 1 << 18) -> PipelineModel:
-    """Fit, and refuse a vocabulary that was cut at its capacity: raise `min_df` or `terms`."""
-    model = pipeline.fit(corpus)
-    for stage in model.stages:
-        if isinstance(stage, CountVectorizerModel) and len(stage.vocabulary) >= terms:
-            raise ValueError(f"vocabulary reached its capacity of {terms} terms")
-    return model
-
-
 def vector_stages(feat: str = "count", norm: str | None = None, max_df: float | None = 0.8, min_df: float = 1.0) -> list:
     """Stages from `tokens` to `features`: counts, or tf-idf with unit L2 rows; then a norm."""
     last = "features"
@@ -129,12 +122,22 @@ def classifier(model: str, n_rows: int, params: dict | None = None, multiclass:
     raise ValueError(f"unknown model: {model}")
 
 
-def classifier_pipeline(model: str, n_rows: int, params: dict | None = None, feat: str = "count",
-                        norm: str | None = None, multiclass: bool = False, max_df: float | None = 0.8,
-                        max_iter: int = 100) -> Pipeline:
-    """<tokens, label> → vectors → classifier, as one pipeline that saves and loads whole."""
-    return Pipeline(stages=[*vector_stages(feat, norm, max_df),
-                            classifier(model, n_rows, params, multiclass, max_iter)])
+class CountedClassifier(Estimator):
+    """`classifier` for as many rows as it is fitted on, so that C means the same in folds, refits and full fits."""
+
+    def __init__(self, model: str, params: dict | None = None, multiclass: bool = False, max_iter: int = 100):
+        super().__init__()
+        self._make = lambda n: classifier(model, n, params, multiclass, max_iter)
+        self._counts = model in ("lr", "svc", "lsvc")
+
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        return self._make(max(dataset.count(), 1) if self._counts else 1).fit(dataset)
+
+
+def classifier_pipeline(model: str, params: dict | None = None, feat: str = "count", norm: str | None = None,
+                        multiclass: bool = False, max_df: float | None = 0.8, max_iter: int = 100) -> Pipeline:
+    """<tokens, label> → vectors → classifier, as one pipeline whose fitted form saves and loads whole."""
+    return Pipeline(stages=[*vector_stages(feat, norm, max_df), CountedClassifier(model, params, multiclass, max_iter)])
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -162,10 +165,10 @@ def train_eval(pipeline: Pipeline, corpus: DataFrame, test_percent: int = 50,
     Returns the model to keep, the training accuracy and <label, prediction> of the held-out
     rows. The model kept is the full fit; `compat` keeps the half-data refit.
     """
-    full = fit_whole(pipeline, corpus)
+    full = pipeline.fit(corpus)
     score = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(full.transform(corpus))
     split = holdout_split(corpus, test_percent)
-    part = fit_whole(pipeline, split.where(~F.col("is_test")))
+    part = pipeline.fit(split.where(~F.col("is_test")))
     held = part.transform(split.where("is_test")).select("doc_id", "label", "prediction")
     return (part if compat else full), score, held
 
@@ -189,12 +192,11 @@ def candidates(model: str, grid: dict | None = None) -> list[dict]:
 
 
 def _searched(corpus: DataFrame, choices: list[tuple[str, dict]], folds: int, feat: str, norm: str | None,
-              parallelism: int, metric: str, max_iter: int) -> list[dict]:
+              parallelism: int, metric: str, max_iter: int, max_df: float | None = 0.8) -> list[dict]:
     """Mean and deviation of a metric for each (model, parameters) over the same folds.
 
     Vectors are fitted once per fold, on its training part, and serve all candidates.
     """
-    n = corpus.count()
     folded = stratified_folds(corpus, folds)
     multiclass = corpus.select("label").distinct().limit(3).count() > 2
     evaluator = (MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
@@ -202,8 +204,9 @@ def _searched(corpus: DataFrame, choices: list[tuple[str, dict]], folds: int, fe
     scores: list[list[float]] = [[] for _ in choices]
     for fold in range(folds):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        vectors = fit_whole(Pipeline(stages=vector_stages(feat, norm)), train)
+        vectors = Pipeline(stages=vector_stages(feat, norm, max_df)).fit(train)
         fit_on, judge_on = (reuse(vectors.transform(part).select("label", "features")) for part in (train, test))
+        n = max(fit_on.count(), 1)
 
         def judged(choice: tuple[str, dict]) -> float:
             fitted = classifier(choice[0], n, choice[1], multiclass, max_iter).fit(fit_on)
@@ -243,9 +246,9 @@ def model_sweep(corpus: DataFrame, models: list[str] = ("lr", "nb", "lsvc", "gnb
     part; returns the report and <label, prediction> of the held-out rows."""
     split = holdout_split(corpus, test_percent)
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test")
-    rows = _searched(train, [(m, {}) for m in models], folds, "tfidf", None, parallelism, "accuracy", max_iter)
+    rows = _searched(train, [(m, {}) for m in models], folds, "tfidf", None, parallelism, "accuracy", max_iter, None)
     best = max(rows, key=lambda r: r["mean"])["model"]
-    fitted = fit_whole(classifier_pipeline(best, train.count(), feat="tfidf", max_iter=max_iter), train)
+    fitted = classifier_pipeline(best, feat="tfidf", max_df=None, max_iter=max_iter).fit(train)
     return cv_report(corpus, rows), fitted.transform(test).select("doc_id", "label", "prediction")
 
 
@@ -257,41 +260,87 @@ def nb_fit(counts: DataFrame, labels: DataFrame, alpha: float = 1.0, key: str =
     """<term, label, log_prob> with log((N_ct+α)/(N_c+α·V)), and {label: log share}.
 
     Closed form over the long counts, so the vocabulary is not bounded by driver memory.
-    Classes are few and become one conditional sum each.
+    Classes are few and become one conditional sum each. Counts that carry the label already
+    are not joined.
     """
     sizes = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(sizes)
     total = sum(sizes.values())
     sums = [F.sum(F.when(F.col(label) == c, F.col("tf")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(classes)]
-    by_term = cut_lineage(counts.join(labels.select(key, label), key).groupBy("term").agg(*sums))
+    marked = counts if label in counts.columns else counts.join(labels.select(key, label), key)
+    by_term = cut_lineage(marked.groupBy("term").agg(*sums))
     whole = by_term.agg(F.count(F.lit(1)), *[F.sum(f"_c{i}") for i in range(len(classes))]).first()
     a = max(alpha, 1e-10)
     rows = [F.struct(F.lit(c).alias(label),
                      F.log((F.col(f"_c{i}") + a) / F.lit(float(whole[i + 1] + a * whole[0]))).alias("log_prob"))
             for i, c in enumerate(classes)]
-    import math
-
     return by_term.select("term", F.inline(F.array(*rows))), {c: math.log(sizes[c] / total) for c in classes}
 
 
-def nb_predict(counts: DataFrame, log_probs: DataFrame, priors: dict, key: str = "doc_id",
+def nb_predict(docs: DataFrame, counts: DataFrame, log_probs: DataFrame, priors: dict, key: str = "doc_id",
                label: str = "label") -> DataFrame:
-    """<doc_id, prediction>: the class of highest log posterior, ties to the lower label.
+    """<doc_id, prediction> for every row of `docs`: the class of highest log posterior, ties to the lower label.
 
-    Unknown terms are ignored; a document left without terms gets no row.
+    Unknown terms are ignored; a document left without terms gets the class of highest prior.
     """
     classes = sorted(priors)
     wide = log_probs.groupBy("term").agg(
         *[F.max(F.when(F.col(label) == c, F.col("log_prob"))).alias(f"_p{i}") for i, c in enumerate(classes)])
     joined = lookup_join(counts, wide, ["term"])
-    scores = joined.groupBy(key).agg(*[(F.sum(F.col("tf") * F.col(f"_p{i}")) + F.lit(priors[c])).alias(f"_s{i}")
-                                       for i, c in enumerate(classes)])
+    sums = joined.groupBy(key).agg(*[F.sum(F.col("tf") * F.col(f"_p{i}")).alias(f"_s{i}") for i in range(len(classes))])
+    scores = docs.select(key).join(sums, key, "left").select(key, *[
+        (F.coalesce(f"_s{i}", F.lit(0.0)) + F.lit(priors[c])).alias(f"_s{i}") for i, c in enumerate(classes)])
     best = F.array_max(F.array(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("o"))
                                  for i in range(len(classes))]))
     names = F.lit(classes) if isinstance(classes[0], str) else F.array(*[F.lit(c) for c in classes])
     return scores.select(key, F.get(names, -best["o"]).alias("prediction"))
 
 
+def nb_grid_search(corpus: DataFrame, alphas: list[float], folds: int = 10, max_df: float = 0.8,
+                   key: str = "doc_id") -> DataFrame:
+    """<place, model, params, mean, std> of binary F1 for each alpha, labels 0 and 1, best first.
+
+    A fold's training sums are the whole sums less its own, so one aggregate by term serves all folds, and one by
+    document all alphas: two shuffles for the whole grid, and no vocabulary on the driver. A term counts in a fold if
+    its training part has it, in at most `max_df` of its documents.
+    """
+    docs = reuse(stratified_folds(corpus, folds).select(key, "label", "fold", "tokens"))
+    sizes = {(r["fold"], int(r["label"])): r["n"] for r in docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = [sum(n for (_, c), n in sizes.items() if c == label) for label in (0, 1)]
+    inside = [[whole[c] - sizes.get((f, c), 0) for c in (0, 1)] for f in range(folds)]
+    counts = term_counts(docs, key=key, carry=("label", "fold"))
+    own = lambda f, c: F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col("tf")).otherwise(0))
+    by_term = counts.groupBy("term").agg(
+        *[F.array(*[own(f, c) for f in range(folds)]).alias(f"n{c}") for c in (0, 1)],
+        F.array(*[F.sum((F.col("fold") == f).cast("long")) for f in range(folds)]).alias("d"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    without = lambda a: F.transform(a, lambda x: total(F.col(a)) - x)
+    limits = F.array(*[F.lit(max_df * sum(n)) for n in inside])
+    known = by_term.select("term", *[without(c).alias(c) for c in ("n0", "n1", "d")])
+    used = F.zip_with("d", limits, lambda d, most: (d > 0) & (d <= most))
+    known = cut_lineage(known.select("term", "n0", "n1", used.alias("used")))
+    sums = known.agg(*[F.sum(F.when(F.get("used", F.lit(f)), v).otherwise(0)).alias(f"{name}{f}")
+                       for f in range(folds) for name, v in (("v", F.lit(1)), ("a", F.get("n0", F.lit(f))), ("b", F.get("n1", F.lit(f))))]).first()
+    size = {n: F.array(*[F.lit(float(sums[f"{n}{f}"] or 0)) for f in range(folds)]) for n in "vab"}
+    rows = lookup_join(counts, known, ["term"]).where(F.get("used", F.col("fold")))
+    terms = []
+    for i, alpha in enumerate(alphas):
+        a = max(alpha, 1e-10)
+        for c, name in ((0, "a"), (1, "b")):
+            base = F.get(size[name], F.col("fold")) + a * F.get(size["v"], F.col("fold"))
+            terms.append(F.sum(F.col("tf") * F.log((F.get(f"n{c}", F.col("fold")) + a) / base)).alias(f"s{i}_{c}"))
+    scores = docs.select(key, "label", "fold").join(rows.groupBy(key).agg(*terms), key, "left")
+    prior = [F.array(*[F.lit(math.log(max(n[c], 1e-300) / max(sum(n), 1))) for n in inside]) for c in (0, 1)]
+    gain = F.get(prior[1], F.col("fold")) - F.get(prior[0], F.col("fold"))
+    said = [(F.coalesce(F.col(f"s{i}_1") - F.col(f"s{i}_0"), F.lit(0.0)) + gain > 0).cast("int") for i in range(len(alphas))]
+    each = scores.select("label", "fold", F.posexplode(F.array(*said)).alias("i", "said"))
+    judged = each.groupBy("i", "fold").agg(F.sum(F.col("said") * F.col("label")).alias("tp"), F.sum(F.col("said") + F.col("label")).alias("both"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("both")), F.lit(0.0))
+    found = {r["i"]: r for r in judged.groupBy("i").agg(F.avg(f1).alias("mean"), F.stddev_pop(f1).alias("std")).collect()}
+    rows = [{"model": "nb", "params": f"alpha={a}", "mean": round(found[i]["mean"], 9), "std": found[i]["std"]} for i, a in enumerate(alphas) if i in found]
+    return cv_report(corpus, rows)
+
+
 def top_features_per_class(log_probs: DataFrame, k: int = 50, label: str = "label") -> DataFrame:
     """<label, term, log_prob, rank>: the k strongest terms of each class."""
     w = Window.partitionBy(label).orderBy(F.desc("log_prob"), "term")
@@ -301,16 +350,21 @@ def top_features_per_class(log_probs: DataFrame, k: int = 50, label: str = "labe
 # --- topics and clusters ------------------------------------------------------------------
 
 
-def lda_fit(corpus: DataFrame, k: int, no_below: float = 5.0, no_above: float = 0.2, keep: int = 100_000,
-            chunk: int = 2000, seed: int = 0):
-    """(vocabulary model, LDA model) by online variational Bayes: one pass over the corpus in
-    chunks, symmetric 1/k priors, offset 1, decay 0.5."""
-    n = corpus.count()
-    vocab = count_stage(min_df=no_below, max_df=no_above, terms=keep).fit(corpus)
+def topic_model(k: int, passes: int = 10, seed: int = 0) -> LDA:
+    """Online variational Bayes with symmetric priors of 1/k that stay as they are, offset 1, decay 0.5.
+
+    A pass draws as many documents as there are, with replacement (MLlib has no other way): a document is in none of
+    10 passes with probability e^-10, or 0.005 %. Passes don't grow with the corpus, so work is linear in it.
+    """
+    return LDA(k=k, optimizer="online", seed=seed, learningOffset=1.0, learningDecay=0.5, optimizeDocConcentration=False,
+               docConcentration=[1.0 / k], topicConcentration=1.0 / k, subsamplingRate=1.0, maxIter=passes)
+
+
+def lda_fit(corpus: DataFrame, k: int, no_below: float = 5.0, no_above: float = 0.2, passes: int = 10, seed: int = 0):
+    """(vocabulary model, LDA model) over all terms between the two document frequencies."""
+    vocab = count_stage(min_df=no_below, max_df=no_above).fit(corpus)
     vectors = vocab.transform(corpus).persist()
-    lda = LDA(k=k, optimizer="online", seed=seed, learningOffset=1.0, learningDecay=0.5,
-              docConcentration=[1.0 / k], topicConcentration=1.0 / k,
-              subsamplingRate=min(1.0, chunk / max(n, 1)), maxIter=max(1, -(-n // chunk)))
+    lda = topic_model(k, passes, seed)
     model = lda.fit(vectors)
     vectors.unpersist()
     return vocab, model
@@ -346,7 +400,9 @@ def argmax_topic(distributed: DataFrame) -> DataFrame:
 def kmeans_fit(vectors: DataFrame, k: int, restarts: int = 10, seed: int = 0, max_iter: int = 20):
     """The k-means model of least cost over several seeds; vectors are kept for all of them."""
     kept = vectors.persist()
-    models = [KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter).fit(kept) for i in range(restarts)]
+    start = inheritable_thread_target(kept.sparkSession)(lambda i: KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter).fit(kept))
+    with ThreadPoolExecutor(4) as pool:
+        models = list(pool.map(start, range(restarts)))
     kept.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
@@ -356,7 +412,7 @@ def cluster_classifier(corpus: DataFrame, cluster: str = "cluster", max_iter: in
     labelled = corpus.withColumn("label", F.col(cluster).cast("double"))
     lr = LogisticRegression(family="multinomial", regParam=1.0 / max(labelled.count(), 1), standardization=False,
                             maxIter=max_iter)
-    model = fit_whole(Pipeline(stages=[*vector_stages("tfidf", None, None), lr]), labelled)
+    model = Pipeline(stages=[*vector_stages("tfidf", None, None), lr]).fit(labelled)
     return predict_proba(model, labelled).drop("label", "prediction")
 
 

@@ -70,6 +70,8 @@ def drop_adjacent_duplicates(ranked: DataFrame, text: str = "text") -> DataFrame
     a digest stands for the text in the shuffled neighbour side.
     """
     digest = F.unhex(F.sha2(F.col(text), 256))
+    if dict(ranked.dtypes)[text] == "binary":  # a digest already
+        digest = F.col(text)
     before = ranked.select((F.col("rank") + 1).alias("rank"), digest.alias("_d"))
     return (ranked.withColumn("_d", digest).join(before, ["rank", "_d"], "left_anti").drop("_d"))
 

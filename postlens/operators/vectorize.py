@@ -9,13 +9,13 @@ from ..functions.arrays import let, value_counts
 from .joins import lookup_join
 from .ranking import dense_index
 
-KEEP_TERMS = 100_000  # fixed value: dictionary size kept by filter_extremes
+def term_counts(corpus: DataFrame, tokens: str = "tokens", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens per document → <doc_id, …carry, term, tf>, counted inside the row (no shuffle).
 
-
-def term_counts(corpus: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """Tokens per document → <doc_id, term, tf>, counted inside the row (no shuffle)."""
+    Columns to `carry`, such as a label, are best joined before: then no term row is joined.
+    """
     counts = F.transform(value_counts(F.col(tokens)), lambda c: F.struct(c["item"].alias("term"), c["n"].alias("tf")))
-    return corpus.select(key, F.inline(counts))
+    return corpus.select(key, *carry, F.inline(counts))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -44,11 +44,19 @@ def _norm(pairs: Column, p: int) -> Column:
     return size if p == 1 else F.sqrt(size)
 
 
+def normalize_in_row(corpus: DataFrame, p: int = 2, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """<doc_id, term, value>: a document's term counts at unit L1 or L2 norm, without any shuffle."""
+    counts = F.transform(value_counts(F.col(tokens)), lambda c: F.struct(c["item"].alias("term"), c["n"].cast("double").alias("value")))
+    scaled = let(counts, lambda c: let(_norm(c, p), lambda z: F.transform(c, lambda x: F.struct(
+        x["term"].alias("term"), (x["value"] / z).alias("value")))))
+    return corpus.select(key, F.inline(scaled))
+
+
 def normalize(rows: DataFrame, p: int = 2, key: str = "doc_id", name: str = "term", value: str = "value") -> DataFrame:
     """Scale each document's values to unit L1 or L2 norm (all-zero rows stay as they are).
 
-    One shuffle: a document's rows are packed together, scaled in place and unpacked. A
-    group is one document, so it is as large as that document and no larger.
+    For rows that arrive long. One shuffle: a document's rows are packed together, scaled in place and unpacked.
+    A group is one document, so it is as large as that document and no larger.
     """
     packed = rows.groupBy(key).agg(F.collect_list(F.struct(
         F.col(name).alias("name"), F.col(value).cast("double").alias("value"))).alias("_p"))
@@ -75,10 +83,10 @@ def tfidf(corpus: DataFrame, tokens: str = "tokens", key: str = "doc_id", max_df
 
 
 def filter_extremes(counts: DataFrame, n_docs: int, no_below: int = 5, no_above: float = 0.2,
-                    keep: int = KEEP_TERMS) -> DataFrame:
-    """<term, df> with no_below ≤ df ≤ no_above·n, the `keep` most frequent of them."""
+                    keep: int | None = None) -> DataFrame:
+    """<term, df> with no_below ≤ df ≤ no_above·n; on request only the `keep` most frequent of them."""
     fit = document_frequencies(counts).where(F.col("df").between(no_below, no_above * n_docs))
-    return fit.orderBy(F.desc("df"), "term").limit(keep)
+    return fit if keep is None else fit.orderBy(F.desc("df"), "term").limit(keep)
 
 
 def bag_of_words(counts: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -99,12 +107,12 @@ def chi2(rows: DataFrame, labels: DataFrame, key: str = "doc_id", name: str = "t
     class share of documents times the feature total.
 
     Classes are few, so they become one conditional sum each: one shuffle, by feature, after
-    each task summed its own rows.
+    each task summed its own rows. Rows that carry the label already are not joined again.
     """
     sizes = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     classes = sorted(sizes)
-    marked = rows.join(labels.select(key, label), key)
+    marked = rows if label in rows.columns else rows.join(labels.select(key, label), key)
     sums = marked.groupBy(name).agg(
         *[F.sum(F.when(F.col(label) == c, F.col(value)).otherwise(0.0)).alias(f"_c{i}") for i, c in enumerate(classes)])
     whole = sum((F.col(f"_c{i}") for i in range(len(classes))), F.lit(0.0))

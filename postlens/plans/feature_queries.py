@@ -48,10 +48,7 @@ def words_sql(source="documents"):
     e = S.rx(e, "|".join(f"{c}{{3,}}" for c in "abcdefghijklmnopqrstuvwxyz"), " ")
     ws = f"list_filter({S.split_ws(e)}, lambda w: w not in {S.in_list(STOPS)} and length(w) >= 3)"
     return f"""select doc_id, 'word_' || word as feature, n::double as value from (
-  select doc_id, word, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, min(i)) as rn
-  from (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i
-        from (select doc_id, {ws} as ws from {source}))
-  group by doc_id, word) where rn <= 1000"""
+  select doc_id, word, count(*) as n from (select doc_id, unnest({ws}) as word from {source}) group by doc_id, word)"""
 
 
 def ngrams_sql(low, high, source="documents", text="text", fixed=False):

@@ -12,6 +12,7 @@ from ..functions.text import preprocess_tokens, vector_tokens
 from ..functions.words import stop_words
 from ..operators import models as M
 from ..operators import vectorize as V
+from ..operators.evaluate import f1_binary
 from ..session import fresh_path, reuse
 from . import sqltext as S
 from .registry import query, table
@@ -38,7 +39,7 @@ def prepared(spark, sf):
 
 def _fitted_predictions(spark, sf, model, params, feat="tfidf"):
     corpus = labelled(spark, sf)
-    fitted = M.fit_whole(M.classifier_pipeline(model, corpus.count(), params, feat, max_iter=30), corpus)
+    fitted = M.classifier_pipeline(model, params, feat).fit(corpus)
     return M.predict(fitted, corpus).select("doc_id", "label", "prediction")
 
 
@@ -74,25 +75,27 @@ lp as (select term, label, ln((coalesce(n, 0) + 1.0) / (t + (select count(*) fro
 
 
 def _nb(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    corpus = reuse(docs.select("doc_id", vector_tokens(F.col("text")).alias("tokens")))
-    counts = V.term_counts(corpus)
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return counts, *M.nb_fit(counts, labels)
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    corpus = reuse(docs.select("doc_id", "label", vector_tokens(F.col("text")).alias("tokens")))
+    counts = V.term_counts(corpus, carry=("label",))
+    return corpus, counts, *M.nb_fit(counts, labels)
 
 
-@query("nb", f"""with {NB}, s as (select doc_id, lp.label, sum(tf * log_prob) + any_value(ln(n_c / (select count(*) from lab))) as s
-from tf join lp using (term) join size on size.label = lp.label group by doc_id, lp.label)
+@query("nb", f"""with {NB}, sums as (select doc_id, lp.label, sum(tf * log_prob) as s from tf join lp using (term) group by doc_id, lp.label),
+s as (select d.doc_id, size.label, coalesce(s, 0) + ln(n_c / (select count(*) from lab)) as s
+  from (select doc_id from documents semi join lab using (doc_id)) d cross join size
+  left join sums on sums.doc_id = d.doc_id and sums.label = size.label)
 select doc_id, arg_max(label, s) as prediction from s group by doc_id""")
 def nb(spark, sf):
-    counts, log_probs, priors = _nb(spark, sf)
-    return M.nb_predict(counts, log_probs, priors)
+    docs, counts, log_probs, priors = _nb(spark, sf)
+    return M.nb_predict(docs, counts, log_probs, priors)
 
 
 @query("top_features_per_class", f"""with {NB} select label, term, round(log_prob, 6) as log_prob, rank from (
 select *, row_number() over (partition by label order by round(log_prob, 9) desc, term)::integer as rank from lp) where rank <= 50""")
 def top_features_per_class(spark, sf):
-    log_probs = _nb(spark, sf)[1].withColumn("log_prob", F.round("log_prob", 9))
+    log_probs = _nb(spark, sf)[2].withColumn("log_prob", F.round("log_prob", 9))
     return M.top_features_per_class(log_probs).select("label", "term", F.round("log_prob", 6).alias("log_prob"), "rank")
 
 
@@ -151,10 +154,10 @@ def argmax_topic(spark, sf):
     return M.argmax_topic(M.doc_topics(vocab, model, corpus)).select("doc_id", "topic")
 
 
-def _clusters(spark, sf, k=4, restarts=3):
+def _clusters(spark, sf, k=4):
     corpus = prepared(spark, sf)
-    vectors = M.fit_whole(Pipeline(stages=M.vector_stages("tfidf", None, None, min_df=2.0)), corpus).transform(corpus)
-    model = M.kmeans_fit(vectors, k, restarts)
+    vectors = Pipeline(stages=M.vector_stages("tfidf", None, None)).fit(corpus).transform(corpus)
+    model = M.kmeans_fit(vectors, k)
     return model.transform(vectors).select("doc_id", "tokens", F.col("prediction").alias("cluster"))
 
 
@@ -165,21 +168,21 @@ def kmeans(spark, sf):
 
 @query("cluster_classifier")
 def cluster_classifier(spark, sf):
-    rows = M.cluster_classifier(_clusters(spark, sf), max_iter=30)
+    rows = M.cluster_classifier(_clusters(spark, sf))
     return rows.select("doc_id", "cluster", entropy_normalized(F.col("dist"), F.size("dist")).alias("entropy"))
 
 
 @query("predict")
 def predict(spark, sf):
     corpus = labelled(spark, sf)
-    model = M.fit_whole(M.classifier_pipeline("lr", corpus.count(), feat="tfidf", max_iter=30), corpus)
+    model = M.classifier_pipeline("lr", feat="tfidf").fit(corpus)
     return M.predict(model, unseen(spark, sf)).select("doc_id", "prediction")
 
 
 @query("predict_proba")
 def predict_proba(spark, sf):
     corpus = labelled(spark, sf)
-    model = M.fit_whole(M.classifier_pipeline("nb", corpus.count()), corpus)
+    model = M.classifier_pipeline("nb").fit(corpus)
     return M.predict_proba(model, unseen(spark, sf)).select("doc_id", F.posexplode("dist").alias("class", "prob"))
 
 
@@ -187,7 +190,7 @@ def predict_proba(spark, sf):
 def save_load_model(spark, sf):
     """Saved, loaded again, and applied to unseen texts."""
     corpus = labelled(spark, sf)
-    model = M.fit_whole(M.classifier_pipeline("lr", corpus.count(), feat="tfidf", norm="l2", max_iter=20), corpus)
+    model = M.classifier_pipeline("lr", feat="tfidf", norm="l2").fit(corpus)
     path = fresh_path(spark, "model")
     M.save_model(model, path)
     return M.predict_proba(M.load_model(path), unseen(spark, sf)).select("doc_id", "prediction")
@@ -198,28 +201,55 @@ def train_eval(spark, sf):
     from ..operators.evaluate import binary_scores
 
     corpus = labelled(spark, sf)
-    _, score, held = M.train_eval(M.classifier_pipeline("nb", corpus.count()), corpus)
+    _, score, held = M.train_eval(M.classifier_pipeline("nb"), corpus)
     return binary_scores(held, 1.0).withColumn("training_accuracy", F.lit(score))
 
 
-@query("grid_search")
+ALPHAS = M.GRIDS["nb"]["alpha"]
+
+# Each fold's training sums by brute force: terms against all other folds.
+GRID = f"""lab as (select doc_id, quality as label, ((row_number() over (partition by quality order by md5(doc_id::varchar), doc_id) - 1) % 10) as fold
+  from labels semi join documents using (doc_id)),
+tf as materialized (select doc_id, label, fold, term, count(*) as tf from (
+  select doc_id, unnest({S.tokens('text', STOPS)}) as term from documents semi join lab using (doc_id)) join lab using (doc_id) group by all),
+f as (select unnest(range(10)) as held),
+size as (select held, sum((label = 0)::int) as d0, sum((label = 1)::int) as d1 from lab, f where fold <> held group by held),
+train as materialized (select held, term, sum(case when label = 0 then tf else 0 end) as n0, sum(case when label = 1 then tf else 0 end) as n1
+  from tf, f where fold <> held group by held, term
+  having count(*) <= 0.8 * (select any_value(d0 + d1) from size where size.held = f.held)),
+tot as (select held, count(*) as v, sum(n0) as t0, sum(n1) as t1 from train group by held),
+a as (select unnest({[max(x, 1e-10) for x in ALPHAS]}) as a, unnest({[f"alpha={x}" for x in ALPHAS]}) as params, unnest(range({len(ALPHAS)})) as i),
+score as (select i, doc_id, sum(tf * (ln((n1 + a) / (t1 + a * v)) - ln((n0 + a) / (t0 + a * v)))) as s
+  from tf join train on train.term = tf.term and train.held = tf.fold join tot on tot.held = tf.fold, a group by i, doc_id),
+said as (select a.i, lab.fold, label, (coalesce(s, 0) + ln(d1 / (d0 + d1)) - ln(d0 / (d0 + d1)) > 0)::int as said
+  from lab cross join a join size on size.held = lab.fold left join score on score.i = a.i and score.doc_id = lab.doc_id),
+f1 as (select i, fold, coalesce(2 * sum(said * label) / nullif(sum(said + label), 0), 0) as f1 from said group by i, fold),
+grid as (select i, round(avg(f1), 9) as mean, stddev_pop(f1) as std from f1 group by i)
+select (row_number() over (order by mean desc, i))::integer as place, 'nb' as model, params, round(mean, 6) as mean, round(std, 6) as std from grid join a using (i)"""
+
+
+def _nb_grid(spark, sf):
+    found = M.nb_grid_search(labelled(spark, sf), ALPHAS)
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("grid_search", f"with {GRID}")
 def grid_search(spark, sf):
-    return M.grid_search(labelled(spark, sf), "nb", {"alpha": [0.001, 0.005, 0.009]}, folds=3, norm=None)
+    return _nb_grid(spark, sf)
 
 
-@query("cv_report")
+@query("cv_report", f"select place, params, mean, std from (with {GRID})")
 def cv_report(spark, sf):
-    return M.grid_search(labelled(spark, sf), "lr", {"penalty": ["l2"], "C": [1, 9]}, folds=3, max_iter=10) \
-        .select("place", "params", "mean", "std")
+    return _nb_grid(spark, sf).select("place", "params", "mean", "std")
 
 
 @query("model_sweep")
 def model_sweep(spark, sf):
-    report, _ = M.model_sweep(labelled(spark, sf), ["lr", "nb"], folds=3, max_iter=10)
-    return report
+    report, held = M.model_sweep(labelled(spark, sf))
+    return report.crossJoin(f1_binary(held, 1.0).withColumnRenamed("f1", "held_out_f1"))  # one row
 
 
 @query("topic_threshold_sweep")
 def topic_threshold_sweep(spark, sf):
     corpus = labelled(spark, sf).withColumn("label", F.col("label").cast("int").cast("string"))
-    return M.topic_threshold_sweep(corpus, [4, 5], [20.0, 50.0, 80.0])
+    return M.topic_threshold_sweep(corpus, list(range(5, 20)), [10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 70.0, 80.0])

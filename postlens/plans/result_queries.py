@@ -110,8 +110,9 @@ def rank_by_entropy(spark, sf):
 @query("drop_adjacent_duplicates", f"""with {RANKED} select pos, rank from (
   select pos, rank, text, lag(text) over (order by rank) as before from ranked) where before is distinct from text""")
 def drop_adjacent_duplicates(spark, sf):
-    ranked = R.rank_by_entropy(scored(spark, sf).select("pos", "entropy", "text"))
-    return R.drop_adjacent_duplicates(ranked).select("pos", "rank")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")  # stands for the text in the range shuffle
+    ranked = R.rank_by_entropy(scored(spark, sf).select("pos", "entropy", digest))
+    return R.drop_adjacent_duplicates(ranked, "digest").select("pos", "rank")
 
 
 @query("quintile_score", f"with {RANKED} select pos, rank, score from quint")

@@ -56,7 +56,7 @@ def split_ws(e: str) -> str:
 
 
 def sentences(e: str) -> str:
-    marked = rx(e, P.SENTENCE_END, chr(92) + "1" + P.SENTENCE_MARK)
+    marked = rx(f"replace({e}, {lit(P.SENTENCE_MARK)}, '')", P.SENTENCE_END, chr(92) + "1" + P.SENTENCE_MARK)
     return f"list_filter(string_split({marked}, {lit(P.SENTENCE_MARK)}), lambda s: s <> '')"
 
 

@@ -110,12 +110,10 @@ def load_gazetteer(spark: SparkSession, path: str) -> DataFrame:
         line[0].alias("type"), F.explode(F.split(line[1], r",\s*")).alias("alias")).where(F.col("alias") != "")
 
 
-def as_lists(lexicon: DataFrame, group: str, word: str = "word", most: int = 100_000) -> dict[str, list[str]]:
-    """A small lexicon as {group: [words]} for the in-row functions; a large one is refused,
-    use the table operators for it."""
-    rows = lexicon.select(group, word).orderBy(group, word).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"lexicon has more than {most} words: use the table form of this operator")
+def as_lists(lexicon: DataFrame, group: str, word: str = "word") -> dict[str, list[str]]:
+    """A lexicon as {group: [words]} for the in-row functions, whose expressions hold every word. `extract` also takes
+    the lexicon as a table, which has no need to fit there."""
+    rows = lexicon.select(group, word).orderBy(group, word).collect()
     out: dict[str, list[str]] = {}
     for g, w in rows:
         out.setdefault(g, []).append(w)

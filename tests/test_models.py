@@ -15,7 +15,7 @@ def corpus(spark, sf):
 
 
 def test_saved_model_predicts_the_same(spark, sf, corpus):
-    model = M.classifier_pipeline("lr", corpus.count(), feat="tfidf", norm="l1", max_iter=5).fit(corpus)
+    model = M.classifier_pipeline("lr", feat="tfidf", norm="l1", max_iter=5).fit(corpus)
     path = fresh_path(spark, "model")
     M.save_model(model, path)
     new = unseen(spark, sf)
@@ -60,7 +60,7 @@ def test_sweep_is_sorted(corpus):
 
 
 def test_train_eval_keeps_the_full_fit(corpus):
-    pipeline = M.classifier_pipeline("nb", corpus.count())
+    pipeline = M.classifier_pipeline("nb")
     model, score, held = M.train_eval(pipeline, corpus)
     assert 0.5 < score <= 1 and 0 < held.count() < corpus.count()
 
@@ -83,13 +83,30 @@ def test_multiclass_uses_one_against_rest(spark, sf):
     talk = spark.read.parquet(f"{sf}/conversations.parquet").select(
         F.monotonically_increasing_id().alias("doc_id"), preprocess_tokens(F.col("text")).alias("tokens"),
         F.when(F.col("role") == "user", 0.0).when(F.col("role") == "assistant", 1.0).otherwise(2.0).alias("label"))
-    model = M.classifier_pipeline("lsvc", talk.count(), multiclass=True, max_iter=3).fit(talk)
+    model = M.classifier_pipeline("lsvc", multiclass=True, max_iter=3).fit(talk)
     assert {r[0] for r in M.predict(model, talk).select("prediction").distinct().collect()} <= {0.0, 1.0, 2.0}
 
 
-def test_full_vocabulary_is_refused(corpus):
-    with pytest.raises(ValueError):
-        M.fit_whole(M.classifier_pipeline("nb", corpus.count()), corpus, terms=10)
+def test_large_vocabulary_is_kept_whole(spark):
+    """More terms than the 2^18 that MLlib keeps unasked."""
+    docs = spark.range(300).selectExpr("id as doc_id", "transform(sequence(1, 1000), i -> concat('t', id * 1000 + i)) as tokens")
+    assert len(M.count_stage().fit(docs).vocabulary) == 300_000
+
+
+def test_penalty_counts_the_rows_it_is_fitted_on(corpus):
+    half = corpus.limit(40)
+    fitted = M.classifier_pipeline("lr", {"C": 2.0}, max_iter=2).fit(half)
+    assert fitted.stages[-1].getRegParam() == pytest.approx(1 / (2.0 * 40))
+
+
+def test_topic_model_keeps_its_priors_and_passes():
+    lda = M.topic_model(4)
+    assert not lda.getOptimizeDocConcentration() and lda.getSubsamplingRate() == 1.0 and lda.getMaxIter() == 10
+
+
+def test_grid_by_aggregates_has_every_candidate(corpus):
+    rows = M.nb_grid_search(corpus, [0.0, 0.5], folds=3).collect()
+    assert [r["place"] for r in rows] == [1, 2] and 0 < rows[0]["mean"] <= 1
 
 
 def test_unknown_choices_are_refused():

@@ -136,7 +136,9 @@ def test_naive_bayes_by_hand(spark):
     got = {(r["term"], r["label"]): r["log_prob"] for r in probs.collect()}
     assert got["a", 0] == pytest.approx(math.log(3 / 5)) and got["a", 1] == pytest.approx(math.log(1 / 5))
     assert priors == {0: math.log(0.5), 1: math.log(0.5)}
-    assert sorted(map(tuple, ML.nb_predict(counts, probs, priors).collect())) == [(1, 0), (2, 1)]
+    assert sorted(map(tuple, ML.nb_predict(labels, counts, probs, priors).collect())) == [(1, 0), (2, 1)]
+    more = spark.createDataFrame([(3,), (4,)], "doc_id long")  # without terms: the higher prior, ties to the lower label
+    assert {r["prediction"] for r in ML.nb_predict(more, counts.where("doc_id > 9"), probs, {0: -2.0, 1: -0.1}).collect()} == {1}
 
 
 def test_line_numbers_over_files(spark, tmp_path):
@@ -152,9 +154,29 @@ def test_polarity_file(spark, tmp_path):
     assert got == [("negative", "exact", "bad"), ("positive", "partial", "hope")]
 
 
-def test_large_lexicon_is_refused(spark):
-    with pytest.raises(ValueError):
-        I.as_lists(spark.createDataFrame([("a", "x"), ("a", "y")], "category string, word string"), "category", most=1)
+def test_lexicons_as_tables_give_the_same_features(spark):
+    docs = spark.createDataFrame([(1, "good warm bad bad?! Why so bad"), (2, "nothing"), (3, " "), (4, "emo_words_count good")], "doc_id long, text string")
+    emo = spark.createDataFrame([("joy", "good"), ("joy", "warm"), ("care", "warm")], "category string, word string")
+    pol = spark.createDataFrame([("negative", "exact", "bad")], "polarity string, kind string, word string")
+    lists = {"emotion_words": I.as_lists(emo, "category"), "lsd_words": {"negative": {"exact": ["bad"], "partial": []}}, "ngrams": (1, 1)}
+    tables = {"emotion_words": emo, "lsd_words": pol, "ngrams": (1, 1)}
+    assert sorted(map(tuple, O.extract(docs, lists).collect())) == sorted(map(tuple, O.extract(docs, tables).collect()))
+
+
+def test_long_documents_keep_all_their_words(spark):
+    text = " ".join(f"w{chr(97 + i // 676)}y{chr(97 + i // 26 % 26)}z{chr(97 + i % 26)}v" for i in range(1500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = O.extract(docs, {"word_feature": {}}).where("feature like 'word_%'")
+    assert rows.count() == 1500
+
+
+def test_last_of_repeated_names_wins(spark):
+    from postlens.functions.arrays import last_wins
+
+    pairs = [("a", 1.0), ("b", 2.0), ("a", 3.0), ("c", 4.0), ("b", 5.0)]
+    frame = spark.createDataFrame([(pairs,), ([],)], "p array<struct<feature:string,value:double>>")
+    got = [{x["feature"]: x["value"] for x in r["p"]} for r in frame.select(last_wins(F.col("p")).alias("p")).collect()]
+    assert got == [{"a": 3.0, "b": 5.0, "c": 4.0}, {}]
 
 
 def test_one_line_round_trip(spark):
