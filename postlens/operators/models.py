@@ -13,7 +13,7 @@ from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import LDA, KMeans, LDAModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -125,9 +125,10 @@ def classifier(model: str, n_rows: int, params: dict | None = None, multiclass:
 class CountedClassifier(Estimator):
     """`classifier` for as many rows as it is fitted on, so that C means the same in folds, refits and full fits."""
 
-    def __init__(self, model: str, params: dict | None = None, multiclass: bool = False, max_iter: int = 100):
+    def __init__(self, model: str, params: dict | None = None, multiclass: bool = False, max_iter: int = 100,
+                 label: str = "label"):
         super().__init__()
-        self._make = lambda n: classifier(model, n, params, multiclass, max_iter)
+        self._make = lambda n: classifier(model, n, params, multiclass, max_iter).setLabelCol(label)
         self._counts = model in ("lr", "svc", "lsvc")
 
     def _fit(self, dataset: DataFrame) -> Transformer:
@@ -140,6 +141,18 @@ def classifier_pipeline(model: str, params: dict | None = None, feat: str = "cou
     return Pipeline(stages=[*vector_stages(feat, norm, max_df), CountedClassifier(model, params, multiclass, max_iter)])
 
 
+def fit_named_labels(corpus: DataFrame, model: str, params: dict | None = None, feat: str = "count", norm: str | None = None,
+                     max_df: float | None = 0.8, max_iter: int = 100) -> PipelineModel:
+    """Fit on labels of any type and number, numbered along their names; the fitted pipeline adds `predicted`, a name.
+
+    Applied to rows without a label it needs none, and it saves and loads with its names.
+    """
+    names = StringIndexer(inputCol="label", outputCol="_number", stringOrderType="alphabetAsc").fit(corpus)
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels)
+    counted = CountedClassifier(model, params, len(names.labels) > 2, max_iter, "_number")
+    return Pipeline(stages=[names, *vector_stages(feat, norm, max_df), counted, named]).fit(corpus)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scores import entropy_normalized
@@ -99,6 +99,25 @@ def top_features_per_class(spark, sf):
     return M.top_features_per_class(log_probs).select("label", "term", F.round("log_prob", 6).alias("log_prob"), "rank")
 
 
+@query("named_labels", f"""with tf as materialized (select conv_id, turn, role, term, count(*) as tf from (
+  select conv_id, turn, role, unnest({S.vector_tokens('text')}) as term from conversations) group by all),
+size as (select role, count(*) as n_c from conversations group by role),
+vocab as (select distinct term from tf),
+tot as (select role, sum(tf) as t from tf group by role),
+nct as (select term, role, sum(tf) as n from tf group by all),
+lp as materialized (select term, role, ln((coalesce(n, 0) + 1.0) / (t + (select count(*) from vocab))) as p
+  from vocab cross join tot left join nct using (term, role)),
+sums as (select conv_id, turn, lp.role, sum(tf * p) as s from tf join lp using (term) group by conv_id, turn, lp.role),
+s as (select c.conv_id, c.turn, c.role as label, size.role, coalesce(s, 0) + ln(n_c + 1) as s from conversations c cross join size
+  left join sums on sums.conv_id = c.conv_id and sums.turn = c.turn and sums.role = size.role)
+select conv_id, turn, any_value(label) as label, arg_max(role, s) as predicted from s group by conv_id, turn""")
+def named_labels(spark, sf):
+    """Three roles by name, predicted from what was said."""
+    talk = reuse(table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("label"), vector_tokens(F.col("text")).alias("tokens")))
+    model = M.fit_named_labels(talk, "nb", max_df=None)
+    return model.transform(talk).select("conv_id", "turn", "label", "predicted")
+
+
 GAUSS = """v as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
 u as (select vec_id, label, i, x / sum(abs(x)) over (partition by vec_id) as x from v),
 eps as (select 1e-9 * max(var) as eps from (select var_pop(x) as var from u group by i)),

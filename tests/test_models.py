@@ -109,6 +109,15 @@ def test_grid_by_aggregates_has_every_candidate(corpus):
     assert [r["place"] for r in rows] == [1, 2] and 0 < rows[0]["mean"] <= 1
 
 
+def test_named_labels_survive_saving(spark):
+    rows = spark.createDataFrame([("tea", ["leaf", "hot"]), ("milk", ["cow", "cold"]), ("beer", ["hop", "cold"])] * 4, "label string, tokens array<string>")
+    model = M.fit_named_labels(rows, "lr", max_df=None, max_iter=20)
+    path = fresh_path(spark, "model")
+    M.save_model(model, path)
+    new = spark.createDataFrame([(["hop"],), (["leaf"],)], "tokens array<string>")
+    assert [r["predicted"] for r in M.load_model(path).transform(new).collect()] == ["beer", "tea"]
+
+
 def test_unknown_choices_are_refused():
     with pytest.raises(ValueError):
         M.classifier("svc", 10, {"kernel": "rbf"})
