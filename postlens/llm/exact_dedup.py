@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stored, without
+from .common import BLANKS, stored
 
 BITS_PER_ROW = 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29  # the broadcast bitmap has at most MOST_BITS / 8 = 64 MB
-RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
@@ -108,8 +107,3 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     first = moved.where(F.col("_n").isNull() | F.col(key).eqNullSafe(F.col("_keep"))).drop("_n", "_keep", "_suspect")
     once = first.dropDuplicates(["_digest", key]).drop("_digest")
     return alone.unionByName(once.select(*docs.columns))
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    """Without columns that carry the names of the result."""
-    return without(docs, *RESULT)

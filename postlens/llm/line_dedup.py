@@ -5,45 +5,64 @@ or changed. Two such lines share one of two halves: the shorter line's halves ar
 probes it with its own beginning and end of the halves' lengths. Lines that share a key are candidates, confirmed by a
 banded bit-parallel edit distance.
 
-Keys that many lines share would make a number of pairs that grows with its square. Their lines are joined in another way,
-as exact: each line is indexed by itself and by its words without the p-th. Lines alike but for the p-th word share a
-key, so do a line and one with a word more, and the earliest of a key settles the others without a pair being made.
+Keys that many lines share would make a number of pairs that grows with its square. Such lines agree on the shared half, so
+only the words left have to be within an edit: these are split in halves again, and so on, until few lines share a key or
+few words are left. Then a line is indexed by its words without the p-th, and the earliest line of an index entry
+settles the others without a pair being made.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, BLANKS, free_name, stored
+from .common import BLANK_CHARS, free_name, stored, without
 from .exact_dedup import only_asked
 
 LEAST_WORDS = 8  # shorter lines always stay
 EDITS = 1
-CROWDED = 16  # lines of a key from which it makes no pairs
+CROWDED = 8  # lines of a key from which it makes no pairs
+BEFORE_ALL, LINES_OF_TEXT = str(-(1 << 63) - 1), str(1 << 31)  # stands for a null key; room for line numbers under a key
+SHORT = 4  # words of a remainder that is indexed by leaving out each word
+
+
+def _number(digits: str) -> Column:
+    return F.lit(digits).cast("decimal(20,0)")
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """<key, print, line, n, h1, h2, words> of each line with LEAST_WORDS words; lines are equal when their words are."""
+    """<place, print, line, n, h1, h2, words> of each line with LEAST_WORDS words; lines are equal when their words are.
+
+    `place` puts key and line number into one decimal; `print` is the hash of the document's text.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(F.col(key).alias("key"), F.xxhash64(value).alias("print"), F.posexplode(F.split(value, "\n")).alias("line", "raw"))
-    words = F.split(F.btrim("raw", F.lit(BLANK_CHARS)), BLANKS)
-    return (cut.withColumn("words", words).withColumn("n", F.size("words")).where(F.col("n") >= LEAST_WORDS)
-            .select("key", "print", "line", "n", F.xxhash64(F.lit(1), "words").alias("h1"), F.xxhash64(F.lit(2), "words").alias("h2"), "words"))
+    blanks = r"[\x20\x09\x0B-\x0D]+"
+    even = F.when(value.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(value, blanks, " ")).otherwise(value)
+    cut = docs.select(F.col(key).cast("decimal(20,0)").alias("key"), F.xxhash64(value).alias("print"), F.posexplode(F.split(even, "\n")).alias("line", "raw"))
+    lines = cut.withColumn("raw", F.btrim("raw", F.lit(" "))).withColumn("words", F.split("raw", " ")).withColumn("n", F.size("words"))
+    place = (F.coalesce("key", _number(BEFORE_ALL)) * F.lit(LINES_OF_TEXT).cast("decimal(10,0)") + F.col("line")).cast("decimal(32,0)")
+    return lines.where(F.col("n") >= LEAST_WORDS).select(place.alias("place"), "print", "line", "n", F.xxhash64(F.lit(1), "raw").alias("h1"),
+                                                         F.xxhash64(F.lit(2), "raw").alias("h2"), "words")
+
 
+def _halves(length: Column) -> tuple[Column, Column]:
+    first = F.floor(length / 2).cast("int")
+    return first, (length - first).cast("int")
 
-def _segment_keys() -> Column:
-    """Two index keys by the line's own length, and two probe keys by the length one below."""
 
-    def half(role: int, length: Column) -> list[Column]:
-        first = F.floor(length / 2).cast("int")
-        second = (length - first).cast("int")
-        parts = ((1, F.slice("words", F.lit(1), first)), (2, F.slice("words", F.col("n") - second + 1, second)))
-        return [F.struct(F.xxhash64(F.lit(i), length, part).alias("seg"), F.lit(role).alias("role")) for i, part in parts]
+def _keys(words: Column, size: Column, length: Column, role: Column, context: Column) -> list[Column]:
+    """The keys by which a line meets lines of `length` words: its beginning and its end of the halves' lengths.
 
-    return F.array(*half(0, F.col("n")), *half(1, F.col("n") - 1))
+    Each comes with the index line's words left to compare (`base`) and where the own ones start and how many they are.
+    """
+    first, second = _halves(length)
+    begins = F.struct(F.xxhash64(F.lit(1), context, length, F.slice(words, F.lit(1), first)).alias("seg"), role.alias("role"),
+                      second.alias("base"), first.alias("from"), (size - first).alias("left"))
+    ends = F.struct(F.xxhash64(F.lit(2), context, length, F.slice(words, size - second + 1, second)).alias("seg"), role.alias("role"),
+                    first.alias("base"), F.lit(0).alias("from"), (size - second).alias("left"))
+    return [begins, ends]
 
 
 def banded_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -81,95 +100,121 @@ def _bit(place: Column, width: int) -> Column:
     return out
 
 
-def _with_words(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """<h1, h2, words> of the wanted lines, read again from the texts; other lines don't leave the scan."""
-    lines = only_asked(lines_of(docs, key, text).select("h1", "h2", "words"), ids, ["h1", "h2"])
-    return lines.join(ids, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("words").alias("words"))
+def _shared(keys: DataFrame) -> DataFrame:
+    """<seg, n>: keys of several lines, one of which is an index line."""
+    found = keys.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("role")).where("n > 1 and role = 0")
+    return stored(found.select("seg", "n"), "counts")
 
 
-def _paired(keys: DataFrame, counts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """<h1, h2> of lines with an earlier one within an edit, over keys of few lines."""
+def _pairs(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """<h1, h2, g1, g2> over keys of few lines, the earlier line first."""
     few = keys.join(counts.where(F.col("n") <= CROWDED).select("seg"), "seg")
     sets = few.groupBy("seg").agg(F.collect_list(F.struct("first", "h1", "h2", "role")).alias("m"))  # CROWDED at most
     one = sets.select(F.posexplode("m").alias("i", "a"), "m")
-    both = one.select("a", F.explode(F.expr("filter(m, (x, k) -> k > i and (x.role = 0 or a.role = 0))")).alias("b"))
+    both = one.select("a", F.explode(F.expr("filter(m, (x, k) -> k > i and (x.role = 0 or a.role = 0) and (x.h1 <> a.h1 or x.h2 <> a.h2))")).alias("b"))
     later = F.col("a")["first"] > F.col("b")["first"]
-    pairs = both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("y"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("x"))
-    pairs = stored(pairs.select("x.h1", "x.h2", F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2")).where("h1 <> g1 or h2 <> g2").distinct(), "pairs")
-    ids = stored(pairs.select(F.explode(F.array(F.struct("h1", "h2"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")))).alias("e")).select("e.*").distinct(), "asked")
-    words = stored(_with_words(docs, ids, key, text), "words")
-    right = words.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
-    full = pairs.join(words, ["h1", "h2"]).join(right, ["g1", "g2"])
-    return full.where(banded_distance_within(F.col("words"), F.col("other"))).select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
-
-
-def _crowded(keys: DataFrame, counts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """<h1, h2> of lines with an earlier one within an edit, over keys of many lines, by leaving out each word in turn."""
-    many = keys.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg").select("h1", "h2", "first").distinct()
-    ids = stored(many, "crowded")
-    words = _with_words(docs, ids.select("h1", "h2"), key, text).join(ids, ["h1", "h2"])
-    each = words.select("h1", "h2", "first", F.posexplode("words").alias("p", "w"))
-    line = Window.partitionBy("h1", "h2").orderBy("p")
-    ahead, behind = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
-    cols = []
-    for s in (1, 2):
-        here, moved = F.xxhash64(F.lit(s), "p", "w"), F.xxhash64(F.lit(s), F.col("p") - 1, "w")
-        rest = F.coalesce(F.bit_xor(here).over(ahead), F.lit(0)).bitwiseXOR(F.coalesce(F.bit_xor(moved).over(behind), F.lit(0)))
-        cols += [rest.alias(f"k{s}"), F.bit_xor(here).over(Window.partitionBy("h1", "h2")).alias(f"w{s}")]
-    cut = stored(each.select("h1", "h2", "first", "p", *cols), "cut")
-    changed = cut.select("h1", "h2", "first", "k1", "k2", "p", F.lit(0).alias("role"))
-    longer = cut.select("h1", "h2", "first", "k1", "k2", F.lit(-1).alias("p"), F.lit(1).alias("role"))
-    itself = cut.where("p = 0").select("h1", "h2", "first", F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.lit(-1).alias("p"), F.lit(2).alias("role"))
-    rows = changed.unionByName(longer).unionByName(itself)
-    least = rows.groupBy("k1", "k2", "p").agg(F.min("first").alias("least"), F.min(F.when(F.col("role") == 1, F.col("first"))).alias("long"),
-                                              F.min(F.when(F.col("role") == 2, F.col("first"))).alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    earliest = F.when(F.col("role") == 0, F.col("least")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("long"))
-    return rows.join(least, ["k1", "k2", "p"]).where(earliest < F.col("first")).select("h1", "h2")
+    ordered = both.select(F.when(later, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("y"))
+    return ordered.select("x.h1", "x.h2", F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2")).distinct()
+
+
+def _by_left_out(items: DataFrame) -> DataFrame:
+    """<h1, h2> of lines with an earlier one within an edit, where few words are left to compare.
+
+    Index lines of a context have `base` words left, others one more. Without its p-th word an index line equals those that
+    differ there, and another line equals the index line that lacks the word; the earliest of each such group is enough.
+    """
+    rest = lambda p: F.concat(F.slice("words", F.lit(1), p), F.slice("words", p + 2, F.size("words")))
+    each = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    row = lambda p, kind, left: F.struct(p.alias("p"), F.lit(kind).alias("kind"), F.xxhash64(F.lit(1), "seg", left).alias("k1"), F.xxhash64(F.lit(2), "seg", left).alias("k2"))
+    nowhere = F.lit(-1)
+    changed = F.concat(F.transform(each, lambda p: row(p, 0, rest(p))), F.array(row(nowhere, 2, F.col("words"))))
+    longer = F.transform(each, lambda p: row(nowhere, 1, rest(p)))
+    rows = items.select("h1", "h2", "first", F.inline(F.when(F.col("role") == 0, changed).otherwise(longer)))
+    group = ["k1", "k2", "p"]
+    least = rows.groupBy(*group).agg(F.min("first").alias("least"), F.min(F.when(F.col("kind") == 1, F.col("first"))).alias("long"),
+                                     F.min(F.when(F.col("kind") == 2, F.col("first"))).alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    earliest = F.when(F.col("kind") == 0, F.col("least")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("long"))
+    return rows.join(least, group).where(earliest < F.col("first")).select("h1", "h2")
+
+
+def _within_an_edit(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """<h1, h2> of lines with an earlier one within an edit. `keys` are those of all distinct lines."""
+    counts = _shared(keys)
+    keys = stored(only_asked(keys, counts, ["seg"]).join(counts.select("seg"), "seg"), "keys")
+    asked = stored(keys.select("h1", "h2").distinct(), "asked")
+    again = only_asked(lines_of(docs, key, text).select("h1", "h2", "words"), asked, ["h1", "h2"])
+    words = stored(again.join(asked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("words").alias("words")), "words")
+    pairs, gone = [_pairs(keys, counts)], []
+    crowded = keys.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg")
+    items = crowded.join(words, ["h1", "h2"])
+    while True:
+        left = F.slice("words", F.col("from") + 1, F.col("left"))
+        items = stored(items.select("h1", "h2", "first", "seg", "role", "base", left.alias("words")), "crowded")
+        gone.append(_by_left_out(items.where(F.col("base") <= SHORT)))
+        longer = items.where(F.col("base") > SHORT)
+        if longer.isEmpty():
+            break
+        parts = F.array(*_keys(F.col("words"), F.size("words"), F.col("base"), F.col("role"), F.col("seg")))
+        split = stored(longer.select("h1", "h2", "first", "words", F.inline(parts)), "split")
+        counts = _shared(split)
+        pairs.append(_pairs(split, counts))
+        items = split.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg")
+    found = stored(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    other = words.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
+    full = found.join(words, ["h1", "h2"]).join(other, ["g1", "g2"])
+    near = full.where(banded_distance_within(F.col("words"), F.col("other"))).select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
+    return reduce(DataFrame.unionByName, gone, near).distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """<key, print, line> of the lines that go; print is the hash of their document's text.
+    """<place, print, line> of the lines that go; print is the hash of their document's text.
 
-    Lines of fewer than LEAST_WORDS words never go. Null text has no lines. A null key is earlier than others; rows that
-    repeat key and text are judged alike.
+    Lines of fewer than LEAST_WORDS words never go. Null text has no lines. Keys are integers; a null key is earlier than
+    others. Lines at the same place of rows that repeat a key are not earlier or later than one another.
     """
-    place = F.struct("key", "line", "print")
-    halves = _segment_keys()
-    found = lines_of(docs, key, text).select("h1", "h2", place.alias("first"), halves.alias("keys"))
-    distinct = stored(found.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.first("keys").alias("keys")), "lines")
-    keys = distinct.select("h1", "h2", "first", F.explode("keys").alias("k")).select("h1", "h2", "first", "k.seg", "k.role")
-    shared = keys.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("role")).where("n > 1 and role = 0")
-    counts = stored(shared.select("seg", "n"), "counts")
-    gone = stored(_paired(keys, counts, docs, key, text).unionByName(_crowded(keys, counts, docs, key, text)).distinct()
-                  .withColumn("gone", F.lit(True)), "gone")
-    moved = F.col("last") > F.col("first")
-    judged = stored(distinct.select("h1", "h2", "first", moved.alias("again")).join(gone, ["h1", "h2"], "left")
+    size, none = F.col("n"), F.lit(0).cast("long")
+    segments = [*_keys(F.col("words"), size, size, F.lit(0), none), *_keys(F.col("words"), size, size - 1, F.lit(1), none)]
+    lines = stored(lines_of(docs, key, text).select("place", "print", "line", "n", "h1", "h2", *[
+        part["seg"].alias(f"s{i}") for i, part in enumerate(segments)]), "lines")
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"), *[
+        F.first(f"s{i}").alias(f"s{i}") for i in range(4)]), "distinct")
+
+    def known(i: int) -> Column:
+        length = size - i // 2
+        first, second = _halves(length)
+        base, start, left = (second, first, size - first) if i % 2 == 0 else (first, F.lit(0), size - second)
+        return F.struct(F.col(f"s{i}").alias("seg"), F.lit(i // 2).alias("role"), base.alias("base"), start.alias("from"), left.alias("left"))
+
+    keys = distinct.select("h1", "h2", "first", F.inline(F.array(*[known(i) for i in range(4)])))
+    gone = stored(_within_an_edit(keys, docs, key, text).withColumn("gone", F.lit(True)), "gone")
+    judged = stored(distinct.select("h1", "h2", "first", (F.col("last") > F.col("first")).alias("again")).join(gone, ["h1", "h2"], "left")
                     .where("again or gone").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "judged")
-    asked = only_asked(lines_of(docs, key, text).select("key", "print", "line", "h1", "h2"), judged.select("h1", "h2"), ["h1", "h2"])
-    here = F.struct("key", "line", "print")
-    return asked.join(judged, ["h1", "h2"]).where(F.col("gone") | (here > F.col("first"))).select("key", "print", "line").distinct()
+    asked = only_asked(lines.select("place", "print", "line", "h1", "h2"), judged.select("h1", "h2"), ["h1", "h2"])
+    return asked.join(judged, ["h1", "h2"]).where(F.col("gone") | (F.col("place") > F.col("first"))).select("place", "print", "line").distinct()
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without the lines that go, and with columns n_lines and n_dropped added.
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The rows of `docs` without the lines that go, and with two counts added: lines, and lines that went.
 
     Other lines, and texts without such lines (null and empty ones too), stay as they are. A text all of whose lines go
     becomes empty. Texts that lose nothing pass straight through. An empty table gives no rows; own columns that are
-    called n_lines or n_dropped are replaced.
+    called like the counts are replaced.
     """
+    n_lines, n_dropped = counts
     gone = stored(repeated_lines(docs, key, text), "repeated")
-    per_text = stored(gone.groupBy("key", "print").agg(F.array_sort(F.collect_list("line")).alias("lines")), "changes")
+    number = ((F.col("place") - F.col("line")) / F.lit(LINES_OF_TEXT).cast("decimal(10,0)")).cast("decimal(20,0)")
+    per_text = stored(gone.groupBy(number.alias("key"), "print").agg(F.array_sort(F.collect_list("line")).alias("lines")), "changes")
     mark, lines = free_name(docs, "_print"), F.split(F.col(text), "\n")
-    ready = docs.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
+    ready = without(docs, *counts).withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
     ready = ready.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     asked = per_text.select(F.col("print").alias(mark))
     touched = only_asked(ready, asked, [mark])
-    cut = touched.alias("d").join(per_text.alias("p"), F.col(f"d.{key}").eqNullSafe(F.col("p.key")) & (F.col(f"d.{mark}") == F.col("p.print")), "left")
+    cut = touched.alias("d").join(per_text.alias("p"), (F.coalesce(F.col(f"d.{key}").cast("decimal(20,0)"), _number(BEFORE_ALL)) == F.col("p.key")) & (F.col(f"d.{mark}") == F.col("p.print")), "left")
     ends = F.concat(F.array(F.lit(-1)), F.col("p.lines"), F.array(F.size(lines)))
     runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda j: F.slice(lines, F.get(ends, j - 1) + 2, F.get(ends, j) - F.get(ends, j - 1) - 1))
     changed = F.when(F.col("p.lines").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.flatten(runs), "\n"))
     dropped = F.coalesce(F.size("p.lines"), F.lit(0)).cast("long")
-    after = cut.select(*[changed.alias(c) if c == text else dropped.alias(c) if c == "n_dropped" else F.col(f"d.{c}").alias(c)
+    after = cut.select(*[changed.alias(c) if c == text else dropped.alias(c) if c == n_dropped else F.col(f"d.{c}").alias(c)
                          for c in ready.columns if c != mark])
     return only_asked(ready, asked, [mark], inside=False).drop(mark).unionByName(after)
 
@@ -179,7 +224,8 @@ def without_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     A document that lost lines and has no word left goes; others stay, also those that had no word before.
     """
-    cut = drop_lines(docs, key, text).where(~((F.col("n_dropped") > 0) & (F.btrim(text, F.lit(BLANK_CHARS)) == "")))
+    lines, lost = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    cut = drop_lines(docs, key, text, (lines, lost)).where(~((F.col(lost) > 0) & (F.btrim(text, F.lit(BLANK_CHARS)) == "")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(lost) > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
