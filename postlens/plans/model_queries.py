@@ -173,7 +173,7 @@ def argmax_topic(spark, sf):
     return M.argmax_topic(M.doc_topics(vocab, model, corpus)).select("doc_id", "topic")
 
 
-def _clusters(spark, sf, k=4):
+def clusters(spark, sf, k=4):
     corpus = prepared(spark, sf)
     vectors = Pipeline(stages=M.vector_stages("tfidf", None, None)).fit(corpus).transform(corpus)
     model = M.kmeans_fit(vectors, k)
@@ -182,12 +182,12 @@ def _clusters(spark, sf, k=4):
 
 @query("kmeans")
 def kmeans(spark, sf):
-    return _clusters(spark, sf).select("doc_id", "cluster")
+    return clusters(spark, sf).select("doc_id", "cluster")
 
 
 @query("cluster_classifier")
 def cluster_classifier(spark, sf):
-    rows = M.cluster_classifier(_clusters(spark, sf))
+    rows = M.cluster_classifier(clusters(spark, sf))
     return rows.select("doc_id", "cluster", entropy_normalized(F.col("dist"), F.size("dist")).alias("entropy"))
 
 
