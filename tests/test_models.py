@@ -123,3 +123,22 @@ def test_unknown_choices_are_refused():
         M.classifier("svc", 10, {"kernel": "rbf"})
     with pytest.raises(ValueError):
         M.classifier("forest", 10)
+
+
+def test_feature_model_weights_and_unknown_features(spark):
+    """Sub-linear tf-idf at unit length, dictionary of the training rows only, every document gets a row."""
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+
+    from postlens.operators import feature_model as FM
+
+    rows = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0), (2, "b", 2.0), (3, "new", 9.0)], "doc_id long, feature string, value double")
+    labels = spark.createDataFrame([(1, 0.0), (2, 1.0)], "doc_id long, label double")
+    model = FM.train(labels, rows, "nb", idf=True, sublinear=True, unit=True)
+    docs = spark.createDataFrame([(1,), (3,)], "doc_id long")
+    got = {r["doc_id"]: r["v"] for r in FM.assemble(docs, rows, model.dictionary, model.width, True, True)
+           .select("doc_id", vector_to_array("features").alias("v")).collect()}
+    a, b = (1 + math.log(3)) * (math.log(3 / 2) + 1), 1.0
+    assert got[1] == pytest.approx([a / math.hypot(a, b), b / math.hypot(a, b)]) and got[3] == [0.0, 0.0]
+    assert {r["doc_id"] for r in model.predict(docs, rows).collect()} == {1, 3}
