@@ -28,23 +28,28 @@ BEFORE_ALL, LINES_OF_TEXT = str(-(1 << 63) - 1), str(1 << 31)  # stands for a nu
 SHORT = 4  # words of a remainder that is indexed by leaving out each word
 
 
+def _count(text: str, mark: str) -> Column:
+    """Parts of a text between one-byte marks."""
+    return F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(mark), F.lit(""))) + 1
+
+
 def _number(digits: str) -> Column:
     return F.lit(digits).cast("decimal(20,0)")
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """<place, print, line, n, h1, h2, words> of each line with LEAST_WORDS words; lines are equal when their words are.
+    """<place, print, line, n, h1, h2, raw> of each line with LEAST_WORDS words; lines are equal when their words are.
 
-    `place` puts key and line number into one decimal; `print` is the hash of the document's text.
+    `raw` holds the n words with one space between, so they are counted by their spaces and split only where needed. `place` puts key and line number into one decimal; `print` is the hash of the document's text.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     blanks = r"[\x20\x09\x0B-\x0D]+"
     even = F.when(value.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(value, blanks, " ")).otherwise(value)
     cut = docs.select(F.col(key).cast("decimal(20,0)").alias("key"), F.xxhash64(value).alias("print"), F.posexplode(F.split(even, "\n")).alias("line", "raw"))
-    lines = cut.withColumn("raw", F.btrim("raw", F.lit(" "))).withColumn("words", F.split("raw", " ")).withColumn("n", F.size("words"))
+    lines = cut.withColumn("raw", F.btrim("raw", F.lit(" "))).withColumn("n", _count("raw", " "))
     place = (F.coalesce("key", _number(BEFORE_ALL)) * F.lit(LINES_OF_TEXT).cast("decimal(10,0)") + F.col("line")).cast("decimal(32,0)")
     return lines.where(F.col("n") >= LEAST_WORDS).select(place.alias("place"), "print", "line", "n", F.xxhash64(F.lit(1), "raw").alias("h1"),
-                                                         F.xxhash64(F.lit(2), "raw").alias("h2"), "words")
+                                                         F.xxhash64(F.lit(2), "raw").alias("h2"), "raw")
 
 
 def _halves(length: Column) -> tuple[Column, Column]:
@@ -142,8 +147,9 @@ def _within_an_edit(keys: DataFrame, docs: DataFrame, key: str, text: str) -> Da
     counts = _shared(keys)
     keys = stored(only_asked(keys, counts, ["seg"]).join(counts.select("seg"), "seg"), "keys")
     asked = stored(keys.select("h1", "h2").distinct(), "asked")
-    again = only_asked(lines_of(docs, key, text).select("h1", "h2", "words"), asked, ["h1", "h2"])
-    words = stored(again.join(asked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("words").alias("words")), "words")
+    again = only_asked(lines_of(docs, key, text).select("h1", "h2", "raw"), asked, ["h1", "h2"])
+    once = again.join(asked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("raw").alias("raw"))
+    words = stored(once.select("h1", "h2", F.split("raw", " ").alias("words")), "words")
     pairs, gone = [_pairs(keys, counts)], []
     crowded = keys.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg")
     items = crowded.join(words, ["h1", "h2"])
@@ -174,7 +180,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     size, none = F.col("n"), F.lit(0).cast("long")
     segments = [*_keys(F.col("words"), size, size, F.lit(0), none), *_keys(F.col("words"), size, size - 1, F.lit(1), none)]
-    lines = stored(lines_of(docs, key, text).select("place", "print", "line", "n", "h1", "h2", *[
+    lines = stored(lines_of(docs, key, text).withColumn("words", F.split("raw", " ")).select("place", "print", "line", "n", "h1", "h2", *[
         part["seg"].alias(f"s{i}") for i, part in enumerate(segments)]), "lines")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"), *[
         F.first(f"s{i}").alias(f"s{i}") for i in range(4)]), "distinct")
@@ -205,7 +211,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts:
     number = ((F.col("place") - F.col("line")) / F.lit(LINES_OF_TEXT).cast("decimal(10,0)")).cast("decimal(20,0)")
     per_text = stored(gone.groupBy(number.alias("key"), "print").agg(F.array_sort(F.collect_list("line")).alias("lines")), "changes")
     mark, lines = free_name(docs, "_print"), F.split(F.col(text), "\n")
-    ready = without(docs, *counts).withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
+    ready = without(docs, *counts).withColumn(n_lines, F.coalesce(_count(text, "\n"), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
     ready = ready.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     asked = per_text.select(F.col("print").alias(mark))
     touched = only_asked(ready, asked, [mark])
