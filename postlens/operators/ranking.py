@@ -22,10 +22,12 @@ def dense_index(df: DataFrame, order: Iterable[str | Column], name: str = "rank"
     place inside the own one; only one count per partition reaches the driver.
     """
     keys = list(order)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the sampling and by the shuffle
+    own = not df.is_cached
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df  # read by the sampling and by the shuffle
     spread = kept.repartitionByRange(partitions, *keys) if partitions else kept.repartitionByRange(*keys)
     fixed = cut_lineage(spread.sortWithinPartitions(*keys))
-    kept.unpersist()
+    if own:
+        kept.unpersist()
     counts = dict(fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], start
     for p in range(max(counts, default=-1) + 1):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_REUSED: list[DataFrame] = []
+_KEPT = threading.local()  # frames persisted by this thread's query, by session
 
 
 def build_session(app: str = "postlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -78,14 +79,20 @@ def spread(df: DataFrame, key: list[str] | None) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Persist a frame that one query reads several times (lineage is kept)."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _REUSED.append(kept)
+    _frames(df.sparkSession).append(kept)
     return kept
 
 
-def release() -> None:
-    """Drop what `reuse` persisted; a frame still in use is recomputed, not lost."""
-    while _REUSED:
+def _frames(spark: SparkSession) -> list[DataFrame]:
+    by_session = _KEPT.__dict__.setdefault("frames", {})
+    return by_session.setdefault(id(spark._jsparkSession), [])
+
+
+def release(spark: SparkSession) -> None:
+    """Drop what `reuse` persisted in this thread and session; a frame still in use is recomputed, not lost."""
+    frames = _frames(spark)
+    while frames:
         try:
-            _REUSED.pop().unpersist()
-        except Exception:  # the session that owned the frame is gone
+            frames.pop().unpersist()
+        except Exception:  # the context that owned the frame was stopped
             pass
