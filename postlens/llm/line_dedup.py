@@ -40,7 +40,8 @@ def _number(digits: str) -> Column:
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """<place, print, line, n, h1, h2, raw> of each line with LEAST_WORDS words; lines are equal when their words are.
 
-    `raw` holds the n words with one space between, so they are counted by their spaces and split only where needed. `place` puts key and line number into one decimal; `print` is the hash of the document's text.
+    `raw` holds the n words with one space between, so they are counted by their spaces and split only where needed.
+    `place` puts key and line number into one decimal; `print` is the hash of the document's text.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     blanks = r"[\x20\x09\x0B-\x0D]+"
