@@ -24,7 +24,7 @@ from .common import partitions_for, ship, stored
 from .components import components
 from .exact_dedup import only_asked
 
-SHINGLE, SIMILARITY = 5, 85  # words; per cent
+SHINGLE, SIMILARITY = 5, 85  # words; per cent where a caller names no other
 TREES, DEPTH, LEAST_DEPTH = 16, 12, 4
 CROWDED = 12  # a region of more documents is split by the next minhash
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 2_000_000
@@ -92,11 +92,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array(sets, pa.binary())], ["id", "sig", "shingles"])
 
 
-def _fits(n: int, m: int) -> bool:
-    return 100 * min(n, m) >= SIMILARITY * max(n, m)
+def _fits(n: int, m: int, per_cent: int) -> bool:
+    return 100 * min(n, m) >= per_cent * max(n, m)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     """Walk sorted <tree, label, id, n>: candidate pairs, and for each member of a crowded region a row <region, id>.
 
     Of a crowded region only its path of open splits and the members of one small part are held.
@@ -122,7 +122,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         for i, (_, one, n) in enumerate(part):  # at full depth the nearest neighbours in order
             for _, two, m in part[i + 1:i + CROWDED]:
-                if one != two and _fits(n, m):
+                if one != two and _fits(n, m, per_cent):
                     pairs.append((min(one, two), max(one, two)))
 
     def close(tree: int, region: list[tuple[bytes, int, int]], whole: bool) -> None:
@@ -151,14 +151,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
+        keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), per_cent)
                 for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, per_cent: int) -> pa.Table:
     """Links between two blocks of one region (or inside one block) that join different components."""
     rows = table.to_pylist()
     left = [r for r in rows if r["side"] == 0]
@@ -174,10 +174,10 @@ def _meet(table: pa.Table) -> pa.Table:
     signs = [np.frombuffer(b"".join(r["sig"] for r in side), ">u4").reshape(len(side), -1) for side in (left, right)]
     out: list[tuple[int, int]] = []
     for i, one in enumerate(left):
-        near = np.flatnonzero((signs[1] == signs[0][i]).mean(axis=1) >= SIMILARITY / 100 - DOUBT)
+        near = np.flatnonzero((signs[1] == signs[0][i]).mean(axis=1) >= per_cent / 100 - DOUBT)
         for j in near:
             two = right[j]
-            if find(one["comp"]) != find(two["comp"]) and similar(sets[one["id"]], sets[two["id"]]):
+            if find(one["comp"]) != find(two["comp"]) and similar(sets[one["id"]], sets[two["id"]], per_cent):
                 out.append((one["id"], two["id"]))
                 root[find(one["comp"])] = find(two["comp"])
     return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["id"]).select("id", "sig", "text").mapInArrow(_gather, "id long, sig binary, shingles binary")
 
 
-def _rest(docs: DataFrame, reps: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, reps: DataFrame, crowd: DataFrame, links: DataFrame, per_cent: int) -> DataFrame:
     """Links inside crowded regions between members that are in different components so far."""
     known = components(links)
     member = (crowd.join(reps.select("id", "n"), "id").join(known.withColumnRenamed("node", "id"), "id", "left")
@@ -199,7 +199,7 @@ def _rest(docs: DataFrame, reps: DataFrame, crowd: DataFrame, links: DataFrame)
     main = sizes.groupBy("region").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"),
                                        F.sum("size").alias("rows")).where("comps > 1")
     # by size, in bands that similar documents can't skip: a document meets its own band and the next
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (SIMILARITY - 0.1)))).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (per_cent - 0.1)))).cast("int")
     open_ = stored(member.join(main.select("region", "main"), "region").select(
         "region", "id", "n", "comp", band.alias("band"), (F.col("comp") != F.col("main")).alias("apart")), "open")
     load = open_.groupBy("region", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("mass"), F.sum(F.col("apart").cast("int")).alias("apart"))
@@ -218,14 +218,14 @@ def _rest(docs: DataFrame, reps: DataFrame, crowd: DataFrame, links: DataFrame)
              .unionByName(meet.where("b1 < b2 or k1 < k2").select("region", pair, F.lit(1).alias("side"), F.col("b2").alias("band"), F.col("k2").alias("block"))))
     sets = stored(_sets(docs, reps, put.select("id").distinct()), "sets")
     full = sides.join(put, ["region", "band", "block"]).select("region", "pair", "side", "id", "comp").join(sets, "id")
-    return full.groupBy("region", "pair").applyInArrow(_meet, "u long, v long")
+    return full.groupBy("region", "pair").applyInArrow(lambda table: _meet(table, per_cent), "u long, v long")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = SIMILARITY) -> DataFrame:
     """<key, n_shingles, component_id, kept>, one row per input row. Keys are integers.
 
     Documents are linked when their sets of distinct 5-word shingles (words split at blanks, A-Z lower-cased) have a Jaccard
-    similarity of at least 0.85; component_id is the smallest key reachable over links. Fewer than five words make one
+    similarity of at least per_cent / 100; component_id is the smallest key reachable over links. Fewer than five words make one
     shingle. Null or blank text has an empty set and no link: it is its own component. Equal sets are one class, represented
     by its smallest key. Rows with a null key are never linked and stay; rows that repeat a key with other text are judged
     by their own text. An empty table gives no rows. Other columns are not read.
@@ -241,15 +241,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = reps.select("id", "n", F.explode(F.array(*[label(t) for t in range(TREES)])).alias("x")).select("x.tree", "x.label", "id", "n")
     tasks = partitions_for(TREES * reps.count(), ROWS_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism)
     order = ["tree", "label", "id"]
-    walked = stored(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_forest, "a long, b long, region binary"), "walked")
+    walked = stored(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _forest(b, per_cent), "a long, b long, region binary"), "walked")
     pairs = stored(walked.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
     crowd = walked.where("b is null").select("region", F.col("a").alias("id"))
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "asked")
     sets = stored(_sets(source, reps, ids).drop("sig"), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa")), "u")
             .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb")), "v").select("u", "v", "sa", "sb"))
-    links = stored(both.mapInArrow(_confirm, "u long, v long"), "links")
-    more = stored(_rest(source, reps, crowd, links), "links")
+    links = stored(both.mapInArrow(lambda b: _confirm(b, per_cent), "u long, v long"), "links")
+    more = stored(_rest(source, reps, crowd, links, per_cent), "links")
     found = stored(components(links.unionByName(more)), "components")
     roots = classes.join(found, classes["rep"] == found["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
     return signed.join(roots, "print", "left").select(
@@ -258,11 +258,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = SIMILARITY) -> DataFrame:
     """The documents that represent their component, with their own columns; rows that share a key go or stay together.
 
     Documents outside a Bloom filter of the dropped keys pass straight through.
     """
-    dropped = stored(near_groups(docs, key, text).where(~F.col("kept")).select(key).distinct(), "dropped")
+    dropped = stored(near_groups(docs, key, text, per_cent).where(~F.col("kept")).select(key).distinct(), "dropped")
     inside = only_asked(docs, dropped, [key])
     return only_asked(docs, dropped, [key], inside=False).unionByName(inside.join(dropped, key, "left_anti").select(*docs.columns))

@@ -52,7 +52,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
-    return near_dup.near_groups(read(spark, sf_dir, "documents"))
+    return near_dup.near_groups(read(spark, sf_dir, "documents"), per_cent=85)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
