@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_join
 from .common import partitions_for, ship, stored
 from .components import components
 from .exact_dedup import only_asked
@@ -75,14 +76,14 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int = SIMILARITY) -> bool:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """<id, n, print, sig> of each <id, text>; print is a hash of the whole set, null for an empty one."""
+    """<id, mark, n, print, sig> of each <id, mark, text>; print is a hash of the whole set, null for an empty one."""
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch.column("text")]
         prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         signs = [signature(s).astype(">u4").tobytes() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
-             pa.array(signs, pa.binary())], ["id", "n", "print", "sig"])
+            [batch.column("id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
+             pa.array(signs, pa.binary())], ["id", "mark", "n", "print", "sig"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +185,10 @@ def _meet(table: pa.Table, per_cent: int) -> pa.Table:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """<id, sig, shingles> of the wanted ids, from their texts; other documents don't leave the scan."""
-    wanted = reps.join(ids, "id", "left_semi").select("id", "sig")
-    texts = only_asked(docs, ids, ["id"]).join(wanted, "id")
-    return texts.dropDuplicates(["id"]).select("id", "sig", "text").mapInArrow(_gather, "id long, sig binary, shingles binary")
+    """<id, sig, shingles> of the wanted classes, from their texts; other documents don't leave the scan."""
+    wanted = stored(reps.join(ids, "id", "left_semi").select("key", "mark", "id", "sig"), "wanted")
+    texts = only_asked(docs, wanted, ["key", "mark"]).join(wanted, ["key", "mark"])
+    return texts.dropDuplicates(["key", "mark"]).select("id", "sig", "text").mapInArrow(_gather, "id long, sig binary, shingles binary")
 
 
 def _rest(docs: DataFrame, reps: DataFrame, crowd: DataFrame, links: DataFrame, per_cent: int) -> DataFrame:
@@ -227,16 +228,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per_ce
     Documents are linked when their sets of distinct 5-word shingles (words split at blanks, A-Z lower-cased) have a Jaccard
     similarity of at least per_cent / 100; component_id is the smallest key reachable over links. Fewer than five words make one
     shingle. Null or blank text has an empty set and no link: it is its own component. Equal sets are one class, represented
-    by its smallest key. Rows with a null key are never linked and stay; rows that repeat a key with other text are judged
+    by its smallest key; classes have numbers of their own, since texts of a repeated key may represent several. Rows with a
+    null key are never linked and stay; rows that repeat a key with other text are judged
     by their own text. An empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stored(source.mapInArrow(_sign, "id long, n long, print binary, sig binary"), "signed")
+    source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    asked = source.withColumnRenamed("key", "id")
+    signed = stored(asked.mapInArrow(_sign, "id long, mark long, n long, print binary, sig binary"), "signed")
     usable = signed.where("print is not null and id is not null")
-    classes = stored(usable.groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    reps = stored(usable.join(classes, (usable["print"] == classes["print"]) & (usable["id"] == classes["rep"]), "left_semi")
-                  .dropDuplicates(["id"]).select("id", "n", "sig"), "reps")
+    least = usable.groupBy("print").agg(F.min(F.struct("id", "mark")).alias("x"))
+    classes = stored(least.select("print", F.col("x.id").alias("rep"), "x.mark", F.monotonically_increasing_id().alias("class")), "classes")
+    own = classes.select("print", F.col("rep").alias("id"), "mark", "class")
+    reps = stored(usable.join(own, ["print", "id", "mark"]).dropDuplicates(["class"]).select(
+        F.col("class").alias("id"), F.col("id").alias("key"), "mark", "n", "sig"), "reps")
     label = lambda t: F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("label"))
     rows = reps.select("id", "n", F.explode(F.array(*[label(t) for t in range(TREES)])).alias("x")).select("x.tree", "x.label", "id", "n")
     tasks = partitions_for(TREES * reps.count(), ROWS_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism)
@@ -251,7 +256,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", per_ce
     links = stored(both.mapInArrow(lambda b: _confirm(b, per_cent), "u long, v long"), "links")
     more = stored(_rest(source, reps, crowd, links, per_cent), "links")
     found = stored(components(links.unionByName(more)), "components")
-    roots = classes.join(found, classes["rep"] == found["node"], "left").select("print", F.coalesce("root", "rep").alias("root"))
+    keys = found.join(classes.select(F.col("class").alias("node"), "rep"), "node")
+    roots = lookup_join(keys, keys.groupBy("root").agg(F.min("rep").alias("low")), ["root"]).select(F.col("node").alias("class"), "low")
+    roots = classes.join(roots, "class", "left").select("print", F.coalesce("low", "rep").alias("root"))
     return signed.join(roots, "print", "left").select(
         F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"),
         F.coalesce(F.when(F.col("id").isNotNull(), F.col("root")), F.col("id")).alias("component_id"),
