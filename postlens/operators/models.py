@@ -410,8 +410,8 @@ def argmax_topic(distributed: DataFrame) -> DataFrame:
     return distributed.withColumn("topic", argmax(F.col("dist")))
 
 
-def kmeans_fit(vectors: DataFrame, k: int, restarts: int = 10, seed: int = 0, max_iter: int = 20):
-    """The k-means model of least cost over several seeds; vectors are kept for all of them."""
+def kmeans_fit(vectors: DataFrame, k: int, restarts: int = 10, seed: int = 0, max_iter: int = 300):
+    """The k-means model of least cost over several seeds, each run until its centres rest; vectors are kept for all of them."""
     kept = vectors.persist()
     start = inheritable_thread_target(kept.sparkSession)(lambda i: KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter).fit(kept))
     with ThreadPoolExecutor(4) as pool:
