@@ -1,35 +1,56 @@
-"""Joins of a large frame with a lookup table whose size is measured first."""
+"""Joins of a large frame with a lookup table, by broadcast, or by shuffle with the hot keys taken apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+HOT_KEYS, KEYS_TRACKED = 128, 10_000  # keys that may be taken apart, and counters of the summary that finds them
+HOT_SHARE = 4  # a key is hot from this part of a shuffle partition's fair share of the rows
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of a frame's values as text, measured by one aggregate over it."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+def written_bytes(checkpointed: DataFrame) -> int:
+    """Bytes that a checkpointed frame takes in the shared folder."""
+    path = checkpointed._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    spark = checkpointed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def _key(on: list[str]) -> Column:
+    return F.xxhash64(*on)
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold many of the rows, HOT_KEYS at most.
+
+    Each task keeps a frequent-items summary of its own rows; summaries are merged, so no row is shuffled. Counts are
+    estimates: a key too many or too few changes where its rows are joined, not what they are joined with.
+    """
+    top = F.expr(f"approx_top_k(_key, {HOT_KEYS}, {KEYS_TRACKED})")
+    found = rows.select(_key(on).alias("_key")).agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [x["item"] for x in found["top"] or [] if x["count"] * HOT_SHARE * partitions > found["n"]]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
                 limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Join the small side by broadcast while it fits, else by a salted shuffle.
-
-    The right side is computed once, into the shared folder, so that measuring it is cheap.
+    """Join a table that holds each key once: by broadcast while it fits, else by a shuffle without hot keys.
 
-    The salt spreads each left key over SALTS partitions and repeats the right row for each
-    of them, so one hot key (a word in every post) never lands in one task. Works for
-    inner, left, left_semi and left_anti joins.
+    The right side is computed once, into the shared folder, and its size is that of what was written. Above the limit,
+    left rows of hot keys (a word in every post) stay in their tasks and meet a broadcast of the few right rows of these
+    keys; all others are shuffled by key, where no key holds much of a partition. Nothing is copied. Works for inner,
+    left, left_semi and left_anti joins.
     """
     right = cut_lineage(right)
-    if measured_bytes(right) <= limit_bytes:
+    if written_bytes(right) <= limit_bytes:
         return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, on)
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = _key(on).isin(hot)
+    apart = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
+    return left.where(~is_hot).join(right.where(~is_hot), on, how).unionByName(apart)
