@@ -60,9 +60,18 @@ def partitions_for(rows: int, per_partition: int, least: int = 1, most: int = 1
     return int(min(max(-(-rows // per_partition), least), most))
 
 
+ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that their Python workers can import it."""
+    """Send this package to the executors once per context, so that their Python workers can import it.
+
+    Batches to Python workers are held to ARROW_BYTES, so that long texts don't fill an executor.
+    """
     sc = spark.sparkContext
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not limit.rstrip("b").isdigit() or int(limit.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_postlens_sent", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

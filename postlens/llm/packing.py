@@ -24,9 +24,9 @@ from .tokens import Encoder
 
 CAPACITY, END_ID = 4096, 1
 #: (share of CAPACITY from which a piece is large, number of groups); the plan with the fewest sequences is taken, the first
-#: of equals. The last has no large pieces, so that grouping never costs a sequence against best fit alone.
-SCHEMES = ((1 / 3, 24), (1 / 3, 96), (1 / 8, 24), (1 / 8, 96), (1.0, 1))
-WORDS_KEPT = 400_000  # of each task's token cache
+#: of equals.
+SCHEMES = ((1 / 3, 24), (1 / 3, 96), (1 / 8, 24), (1 / 8, 96))
+CACHE_BYTES, BATCH_IDS = 128 << 20, 1 << 20  # of a task's token cache, and ids of a batch of pieces
 
 Lot = tuple[int, int]  # first sequence, number of sequences; all of a lot hold the same lengths
 
@@ -196,26 +196,37 @@ def _substitute(plan: Plan, config: np.ndarray, times: int, pools: list[list[lis
         plan.put(CAPACITY - filled, (first, count))
 
 
-def _cutter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pieces of <key, text>, each with its task and its place among the task's pieces of its length."""
+def _cutter(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of <key, text>, each with its task, its place among the task's pieces of its length, and its ids on request."""
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+    names = ["key", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][:8 if with_ids else 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, seen, task = Encoder(path, WORDS_KEPT), defaultdict(int), TaskContext.get().partitionId()
+        encoder, seen, task = Encoder(path, CACHE_BYTES), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
+
+            def flush(batch: pa.RecordBatch = batch, rows: list = rows) -> pa.RecordBatch:
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)]
+                rows.clear()
+                return pa.RecordBatch.from_arrays([batch.column("key").take(cols[0]), *cols[1:]], names)
+
             for i, text in enumerate(batch.column("text")):
                 ids = encoder.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
                     part = ids[at:at + 4 * CAPACITY]
                     length = len(part) // 4
-                    rows.append((i, piece, at // 4, length, zlib.crc32(part), task, seen[length]))
+                    row = (i, piece, at // 4, length, zlib.crc32(part), task, seen[length])
+                    rows.append((*row, part) if with_ids else row)
                     seen[length] += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
-                ["key", "piece", "start", "length", "ids_crc32", "task", "place"])
+                    held += length
+                    if held > BATCH_IDS:
+                        yield flush()
+                        held = 0
+            if rows:
+                yield flush()
 
     return run
 
@@ -233,63 +244,46 @@ def _placer(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 row = rows[np.searchsorted(rows[:, 0], ranks[mine], "right") - 1]
                 turn, copy = np.divmod(ranks[mine] - row[:, 0], row[:, 2])
                 where[mine], offset[mine] = row[:, 1] + turn, row[:, 3] + copy * length
-            keep = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(where), pa.array(offset)], [*keep, "sequence_id", "offset"])
+            keep = [n for n in batch.schema.names if n not in ("rank", "ids")]
+            out = dict(zip([*keep, "sequence_id", "offset"], [*(batch.column(n) for n in keep), pa.array(where), pa.array(offset)], strict=True))
+            if "ids" in batch.schema.names:
+                values = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<i4")
+                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                out["input_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """<key, piece, start, length, ids_crc32, sequence_id, offset>, a row per piece.
-
-    A document is its ids and END_ID; null text counts as empty, so each row has at least one piece. Only documents of more
-    than CAPACITY ids are cut. Null or repeated keys are packed like others. An empty table gives no rows. Only the
-    histogram of lengths, CAPACITY numbers at most, reaches the driver, and only the plan made of it the tasks.
-    """
+def _placed(docs: DataFrame, path: str, key: str, text: str, with_ids: bool) -> DataFrame:
+    """Pieces with their places. Texts are tokenized once; what comes after works on the stored pieces."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
-    shape = f"key {kind}, piece int, start long, length long, ids_crc32 long, task long, place long"
-    pieces = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cutter(path), shape), "pieces")
+    head, ids = f"key {kind}, piece int, start long, length long, ids_crc32 long", ["ids"] if with_ids else []
+    shape = f"{head}, task long, place long" + (", ids binary" if with_ids else "")
+    pieces = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cutter(path, with_ids), shape), "pieces")
     counts = stored(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["task", "length"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
-    placed = ranked.mapInArrow(_placer(plan_packing(histogram)), f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.withColumnRenamed("key", key)
+    ranked = pieces.join(bases, ["task", "length"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"), *ids)
+    return ranked.mapInArrow(_placer(plan_packing(histogram)), f"{head}, sequence_id long, offset long" + (", input_ids array<int>" if with_ids else ""))
 
 
-def _filler(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, WORDS_KEPT)
-        for batch in batches:
-            at, ids = [], []
-            places = batch.column("places").to_pylist()
-            for i, text in enumerate(batch.column("text")):
-                whole = np.frombuffer(encoder.encode(text.as_py() or "") + END_ID.to_bytes(4, "little"), "<u4")
-                for p in places[i]:
-                    at.append((i, p["sequence_id"], p["offset"], p["piece"]))
-                    ids.append(whole[p["start"]:p["start"] + p["length"]].astype(np.int32))
-            cols = list(zip(*at, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), batch.column("key").take(pa.array(cols[0], pa.int64())),
-                 pa.array(cols[3], pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "offset", "key", "piece", "input_ids"])
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """<key, piece, start, length, ids_crc32, sequence_id, offset>, a row per piece.
 
-    return run
+    A document is its ids and END_ID; null text counts as empty, so each row has at least one piece. Only documents of more
+    than CAPACITY ids are cut. Null or repeated keys are packed like others. An empty table gives no rows. Only the
+    histogram of lengths, CAPACITY numbers at most, reaches the driver, and only the plan made of it the tasks.
+    """
+    return _placed(docs, path, key, text, with_ids=False).withColumnRenamed("key", key)
 
 
 def packed_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """<sequence_id, offset, key, piece, input_ids>: the packed sequences themselves, a row per piece of a sequence.
 
-    Every row of `docs` is packed. The text of rows that repeat key and text is fetched once and fills the places of all of
-    them. Other columns are not read.
+    Every row of `docs` is packed, as `pack` does it; repeated and null keys too. Other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
-    placed = pack(rows.withColumn("ident", F.struct("key", "print")), path, "ident", "text")
-    places = placed.groupBy("ident").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "length", "sequence_id", "offset"))).alias("places"))
-    once = rows.dropDuplicates(["key", "print"])
-    joined = once.join(places, once["key"].eqNullSafe(places["ident"]["key"]) & (once["print"] == places["ident"]["print"]))
-    filled = joined.select("key", "text", "places").mapInArrow(_filler(path), f"sequence_id long, offset long, key {kind}, piece int, input_ids array<int>")
-    return filled.withColumnRenamed("key", key)
+    return _placed(docs, path, key, text, with_ids=True).select("sequence_id", "offset", F.col("key").alias(key), "piece", "input_ids")

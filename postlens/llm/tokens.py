@@ -1,4 +1,4 @@
-"""Token ids of a public word-level BPE tokenizer, encoded word by word with a bounded cache.
+"""Token ids of a public word-level BPE tokenizer, encoded word by word with a cache bounded in bytes.
 
 The tokenizer's rules cut at white space first, so the ids of a text are the ids of its words, end to end; a word in turn is
 cut by the tokenizer's own pattern. Both steps are cached. A word with a special token or with characters beyond the common
@@ -41,7 +41,7 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """`encode(text)` → ids as little-endian unsigned 32-bit bytes, as the tokenizer itself gives without special tokens."""
 
-    def __init__(self, path: str, words_kept: int = 400_000):
+    def __init__(self, path: str, cache_bytes: int = 128 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,31 +52,40 @@ class Encoder:
         self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
         if not all(t["content"].startswith("<|") for t in spec["added_tokens"]):
             raise ValueError("special tokens are told by their first two characters")
-        self.letters, self.model, self.kept = _byte_letters(), self.tokenizer.model, words_kept
-        self.words: dict[str, bytes] = {}
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.room = self.half = cache_bytes // 2
+        self.words: dict[str, bytes] = {}  # of words since the cache was last turned over, and of those before
+        self.old_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _spelled(self, part: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))])
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            spelled = part.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.parts[part] = _packed([t.id for t in self.model.tokenize(spelled)])
+            found = self.parts[part] = self.old_parts.get(part) or self._spelled(part)
+            self.room -= _ENTRY + len(part) + len(found)
         return found
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            found = self._part(word.lower())
-        elif "<|" not in word and _PLAIN.fullmatch(word):
-            found = b"".join(map(self._part, self.pattern.findall(unicodedata.normalize("NFC", word).lower())))
-        else:
-            found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        found = self.old_words.get(word)
+        if found is None:
+            if word.isascii() and word.isalpha():
+                found = self._spelled(word.lower())
+            elif "<|" not in word and _PLAIN.fullmatch(word):
+                found = b"".join(map(self._part, self.pattern.findall(unicodedata.normalize("NFC", word).lower())))
+            else:
+                found = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self.words[word] = found
+        self.room -= _ENTRY + len(word) + len(found)
         return found
 
     def encode(self, text: str) -> bytes:
-        if len(self.words) > self.kept or len(self.parts) > self.kept:
-            self.words.clear()
-            self.parts.clear()
+        """The cache is turned over when half of it is full: what was used since then stays, the rest goes at the next turn."""
+        if self.room < 0:
+            self.old_words, self.old_parts, self.words, self.parts, self.room = self.words, self.parts, {}, {}, self.half
         known, out = self.words, []
         for word in _CHUNK.findall(text) if _OTHER_SPACE.search(text) else text.split():
             found = known.get(word)
@@ -84,6 +93,7 @@ class Encoder:
         return b"".join(out)
 
 
+_ENTRY = 180  # bytes of a cache entry besides its texts: two objects' heads and a place in the table
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 #: White space that libraries don't agree on; it then stays inside a word, for the tokenizer to judge.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
