@@ -143,12 +143,12 @@ def _by_left_out(items: DataFrame) -> DataFrame:
     return rows.join(least, group).where(earliest < F.col("first")).select("h1", "h2")
 
 
-def _within_an_edit(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """<h1, h2> of lines with an earlier one within an edit. `keys` are those of all distinct lines."""
+def _within_an_edit(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """<h1, h2> of lines with an earlier one within an edit. `keys` are those of all distinct lines, `lines` have their words."""
     counts = _shared(keys)
     keys = stored(only_asked(keys, counts, ["seg"]).join(counts.select("seg"), "seg"), "keys")
     asked = stored(keys.select("h1", "h2").distinct(), "asked")
-    again = only_asked(lines_of(docs, key, text).select("h1", "h2", "raw"), asked, ["h1", "h2"])
+    again = only_asked(lines.select("h1", "h2", "raw"), asked, ["h1", "h2"])
     once = again.join(asked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("raw").alias("raw"))
     words = stored(once.select("h1", "h2", F.split("raw", " ").alias("words")), "words")
     pairs, gone = [_pairs(keys, counts)], []
@@ -181,7 +181,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     size, none = F.col("n"), F.lit(0).cast("long")
     segments = [*_keys(F.col("words"), size, size, F.lit(0), none), *_keys(F.col("words"), size, size - 1, F.lit(1), none)]
-    lines = stored(lines_of(docs, key, text).withColumn("words", F.split("raw", " ")).select("place", "print", "line", "n", "h1", "h2", *[
+    lines = stored(lines_of(docs, key, text).withColumn("words", F.split("raw", " ")).select("place", "print", "line", "n", "h1", "h2", "raw", *[
         part["seg"].alias(f"s{i}") for i, part in enumerate(segments)]), "lines")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"), *[
         F.first(f"s{i}").alias(f"s{i}") for i in range(4)]), "distinct")
@@ -193,7 +193,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return F.struct(F.col(f"s{i}").alias("seg"), F.lit(i // 2).alias("role"), base.alias("base"), start.alias("from"), left.alias("left"))
 
     keys = distinct.select("h1", "h2", "first", F.inline(F.array(*[known(i) for i in range(4)])))
-    gone = stored(_within_an_edit(keys, docs, key, text).withColumn("gone", F.lit(True)), "gone")
+    gone = stored(_within_an_edit(keys, lines).withColumn("gone", F.lit(True)), "gone")
     judged = stored(distinct.select("h1", "h2", "first", (F.col("last") > F.col("first")).alias("again")).join(gone, ["h1", "h2"], "left")
                     .where("again or gone").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "judged")
     asked = only_asked(lines.select("place", "print", "line", "h1", "h2"), judged.select("h1", "h2"), ["h1", "h2"])
@@ -211,19 +211,20 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts:
     gone = stored(repeated_lines(docs, key, text), "repeated")
     number = ((F.col("place") - F.col("line")) / F.lit(LINES_OF_TEXT).cast("decimal(10,0)")).cast("decimal(20,0)")
     per_text = stored(gone.groupBy(number.alias("key"), "print").agg(F.array_sort(F.collect_list("line")).alias("lines")), "changes")
-    mark, lines = free_name(docs, "_print"), F.split(F.col(text), "\n")
-    ready = without(docs, *counts).withColumn(n_lines, F.coalesce(_count(text, "\n"), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
-    ready = ready.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    asked = per_text.select(F.col("print").alias(mark))
-    touched = only_asked(ready, asked, [mark])
-    cut = touched.alias("d").join(per_text.alias("p"), (F.coalesce(F.col(f"d.{key}").cast("decimal(20,0)"), _number(BEFORE_ALL)) == F.col("p.key")) & (F.col(f"d.{mark}") == F.col("p.print")), "left")
+    mark, lines = free_name(docs, "_key"), F.split(F.col(text), "\n")
+    ready = without(docs, *counts).withColumn(mark, F.coalesce(F.col(key).cast("decimal(20,0)"), _number(BEFORE_ALL)))
+    asked = per_text.select(F.col("key").alias(mark)).distinct()
+    counted = lambda rows: rows.withColumn(n_lines, F.coalesce(_count(text, "\n"), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
+    touched = counted(only_asked(ready, asked, [mark]))
+    own = F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit("")))
+    cut = touched.alias("d").join(per_text.alias("p"), (F.col(f"d.{mark}") == F.col("p.key")) & (own == F.col("p.print")), "left")
     ends = F.concat(F.array(F.lit(-1)), F.col("p.lines"), F.array(F.size(lines)))
     runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda j: F.slice(lines, F.get(ends, j - 1) + 2, F.get(ends, j) - F.get(ends, j - 1) - 1))
     changed = F.when(F.col("p.lines").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.flatten(runs), "\n"))
     dropped = F.coalesce(F.size("p.lines"), F.lit(0)).cast("long")
     after = cut.select(*[changed.alias(c) if c == text else dropped.alias(c) if c == n_dropped else F.col(f"d.{c}").alias(c)
-                         for c in ready.columns if c != mark])
-    return only_asked(ready, asked, [mark], inside=False).drop(mark).unionByName(after)
+                         for c in touched.columns if c != mark])
+    return counted(only_asked(ready, asked, [mark], inside=False)).drop(mark).unionByName(after)
 
 
 def without_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
