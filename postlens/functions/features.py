@@ -143,11 +143,26 @@ def emotion_words(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return _if_text(text, let(whitespace_split(text), pairs))
 
 
-def polarity_words(text: Column, lexicon: dict[str, dict[str, list[str]]]) -> Column:
-    """`lsd_<polarity>_<kind>_<word>` counts; stems compare by equality."""
+def lexicon_keys(word: Column, lengths: list[int]) -> Column:
+    """array<struct<kind, word>> by which a token meets a lexicon: itself, and its beginnings of the lengths of stems."""
+    exact = F.struct(F.lit("exact").alias("kind"), word.alias("word"))
+    stems = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(word))
+    return F.concat(F.array(exact), F.transform(stems, lambda n: F.struct(F.lit("partial").alias("kind"), F.substring(word, 1, n).alias("word"))))
+
+
+def polarity_words(text: Column, lexicon: dict[str, dict[str, list[str]]], fixed: bool = False) -> Column:
+    """`lsd_<polarity>_<kind>_<word>` counts. Stems (kind `partial`) compare by equality; `fixed` counts the tokens that begin
+    with a stem, under the stem."""
+
+    def found(ws: Column, kind: str, listed: list[str]) -> Column:
+        if not fixed or kind != "partial":
+            return F.filter(ws, _member(listed))
+        lengths = F.array(*[F.lit(n) for n in sorted({len(v) for v in listed})]).cast("array<int>")
+        starts = F.transform(ws, lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.substring(w, 1, n)))
+        return F.filter(F.flatten(starts), _member(listed))
 
     def pairs(ws: Column) -> Column:
-        parts = [_counted(F.filter(ws, _member(v)), f"lsd_{polarity}_{kind}_")
+        parts = [_counted(found(ws, kind, v), f"lsd_{polarity}_{kind}_")
                  for polarity, kinds in lexicon.items() for kind, v in kinds.items()]
         return F.concat(*parts) if parts else _none()
 

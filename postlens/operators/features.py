@@ -49,7 +49,7 @@ def extract(corpus: DataFrame, options: dict, text: str = "text", key: str = "do
     if "emotion_words" in options:
         families.append(X.emotion_words(body, options["emotion_words"]))
     if "lsd_words" in options:
-        families.append(X.polarity_words(body, options["lsd_words"]))
+        families.append(X.polarity_words(body, options["lsd_words"], fixed))
     families += [X.interrogatives(body), X.sentence_lengths(body, fixed)]
     staged = corpus.select(key, text, (preprocess(raw, stops) if preprocessed else raw).alias("_body"))
     return as_rows(staged, X.merge(*families), key)
@@ -64,9 +64,9 @@ def _extract_with_tables(corpus: DataFrame, options: dict, text: str, key: str,
     parts = [extract(corpus, rest, text, key, preprocessed, stops, fixed)]
     for name, by_table, in_row in (("emotion_words", emotion_by_table, X.emotion_words), ("lsd_words", polarity_by_table, X.polarity_words)):
         if isinstance(options.get(name), DataFrame):
-            parts.append(by_table(cleaned, options[name], key))
+            parts.append(by_table(cleaned, options[name], key, **({"fixed": fixed} if name == "lsd_words" else {})))
         elif name in options:
-            parts.append(as_rows(cleaned, in_row(F.col("text"), options[name]), key))
+            parts.append(as_rows(cleaned, in_row(F.col("text"), options[name], **({"fixed": fixed} if name == "lsd_words" else {})), key))
     parts.append(as_rows(cleaned, X.merge(X.interrogatives(F.col("text")), X.sentence_lengths(F.col("text"), fixed)), key))
     return merge_features(parts, key)
 
@@ -98,12 +98,22 @@ def emotion_by_table(corpus: DataFrame, lexicon: DataFrame, key: str = "doc_id")
     return wide.select(key, F.inline(F.array(*pairs)))
 
 
-def polarity_by_table(corpus: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`polarity_words` for a lexicon table <polarity, kind, word> of any size."""
-    hits = lookup_join(_term_rows(corpus, whitespace_split(F.col("text")), key).where(F.col("word").isNotNull()),
-                       lexicon.select("polarity", "kind", "word").distinct(), ["word"])
-    return hits.select(key, F.concat_ws("_", F.lit("lsd"), "polarity", "kind", "word").alias("feature"),
-                       F.col("n").cast("double").alias("value"))
+def polarity_by_table(corpus: DataFrame, lexicon: DataFrame, key: str = "doc_id", fixed: bool = False) -> DataFrame:
+    """`polarity_words` for a lexicon table <polarity, kind, word> of any size.
+
+    Stems (kind `partial`) compare by equality; `fixed` matches every token that begins with one, by its beginnings of the
+    lengths that occur among stems, so that stems too are found by an equality join.
+    """
+    rows = _term_rows(corpus, whitespace_split(F.col("text")), key).where(F.col("word").isNotNull())
+    known, on = lexicon.select("polarity", "kind", "word").distinct(), ["word"]
+    if fixed:
+        lengths = sorted(r[0] for r in known.where("kind = 'partial'").select(F.length("word")).distinct().collect())  # no more than the longest stem has characters
+        rows, on = rows.select(key, "n", F.inline(X.lexicon_keys(F.col("word"), lengths))), ["kind", "word"]
+    hits = lookup_join(rows, known, on)
+    feature = F.concat_ws("_", F.lit("lsd"), "polarity", "kind", "word").alias("feature")
+    if fixed:
+        return hits.groupBy(key, feature).agg(F.sum("n").cast("double").alias("value"))
+    return hits.select(key, feature, F.col("n").cast("double").alias("value"))
 
 
 def polarity_lenient(corpus: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:

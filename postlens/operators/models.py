@@ -310,28 +310,37 @@ def nb_predict(docs: DataFrame, counts: DataFrame, log_probs: DataFrame, priors:
 
 
 def nb_grid_search(corpus: DataFrame, alphas: list[float], folds: int = 10, max_df: float = 0.8,
-                   key: str = "doc_id") -> DataFrame:
+                   key: str = "doc_id", features: DataFrame | None = None, k_best: int | None = None) -> DataFrame:
     """<place, model, params, mean, std> of binary F1 for each alpha, labels 0 and 1, best first.
 
     A fold's training sums are the whole sums less its own, so one aggregate by term serves all folds, and one by
     document all alphas: two shuffles for the whole grid, and no vocabulary on the driver. A term counts in a fold if
     its training part has it, in at most `max_df` of its documents.
+
+    Terms are the corpus's tokens, or long `features` <doc_id, feature, value>. With `k_best`, each fold keeps the terms of
+    highest chi-square over its own training sums, ties by name.
     """
-    docs = reuse(stratified_folds(corpus, folds).select(key, "label", "fold", "tokens"))
+    docs = reuse(stratified_folds(corpus, folds).select(key, "label", "fold", *(["tokens"] if features is None else [])))
     sizes = {(r["fold"], int(r["label"])): r["n"] for r in docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = [sum(n for (_, c), n in sizes.items() if c == label) for label in (0, 1)]
     inside = [[whole[c] - sizes.get((f, c), 0) for c in (0, 1)] for f in range(folds)]
-    counts = term_counts(docs, key=key, carry=("label", "fold"))
+    if features is None:
+        counts = term_counts(docs, key=key, carry=("label", "fold"))
+    else:
+        counts = cut_lineage(features.join(docs, key).select(key, "label", "fold", F.col("feature").alias("term"), F.col("value").alias("tf")))
     own = lambda f, c: F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col("tf")).otherwise(0))
     by_term = counts.groupBy("term").agg(
         *[F.array(*[own(f, c) for f in range(folds)]).alias(f"n{c}") for c in (0, 1)],
         F.array(*[F.sum((F.col("fold") == f).cast("long")) for f in range(folds)]).alias("d"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     without = lambda a: F.transform(a, lambda x: total(F.col(a)) - x)
     limits = F.array(*[F.lit(max_df * sum(n)) for n in inside])
     known = by_term.select("term", *[without(c).alias(c) for c in ("n0", "n1", "d")])
     used = F.zip_with("d", limits, lambda d, most: (d > 0) & (d <= most))
-    known = cut_lineage(known.select("term", "n0", "n1", used.alias("used")))
+    known = known.select("term", "n0", "n1", used.alias("used"))
+    if k_best is not None:
+        known = _best_in_folds(cut_lineage(known), inside, k_best)
+    known = cut_lineage(known)
     sums = known.agg(*[F.sum(F.when(F.get("used", F.lit(f)), v).otherwise(0)).alias(f"{name}{f}")
                        for f in range(folds) for name, v in (("v", F.lit(1)), ("a", F.get("n0", F.lit(f))), ("b", F.get("n1", F.lit(f))))]).first()
     size = {n: F.array(*[F.lit(float(sums[f"{n}{f}"] or 0)) for f in range(folds)]) for n in "vab"}
@@ -354,6 +363,24 @@ def nb_grid_search(corpus: DataFrame, alphas: list[float], folds: int = 10, max_
     return cv_report(corpus, rows)
 
 
+def _best_in_folds(known: DataFrame, inside: list[list[int]], k: int) -> DataFrame:
+    """<term, n0, n1, used> with `used` left true only in folds where the term is among the k of highest chi-square."""
+    share = [F.array(*[F.lit(n[c] / max(sum(n), 1)) for n in inside]) for c in (0, 1)]
+    both = lambda i: F.get("n0", i) + F.get("n1", i)
+
+    def part(c: int, i: Column) -> Column:
+        expected = both(i) * F.get(share[c], i)
+        gap = F.get(f"n{c}", i) - expected
+        return F.coalesce(F.try_divide(gap * gap, expected), F.lit(0.0))
+
+    score = F.transform("used", lambda u, i: F.struct(i.alias("fold"), F.when(u, F.round(part(0, i) + part(1, i), 6)).alias("chi2")))
+    each = known.select("term", F.inline(score)).where("chi2 is not null")
+    best = each.withColumn("_r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("chi2"), "term"))).where(F.col("_r") <= k)
+    chosen = best.groupBy("term").agg(F.collect_set("fold").alias("_folds"))  # k rows per fold at most
+    kept = lookup_join(known, chosen, ["term"])
+    return kept.select("term", "n0", "n1", F.transform("used", lambda u, i: u & F.array_contains("_folds", i)).alias("used"))
+
+
 def top_features_per_class(log_probs: DataFrame, k: int = 50, label: str = "label") -> DataFrame:
     """<label, term, log_prob, rank>: the k strongest terms of each class."""
     w = Window.partitionBy(label).orderBy(F.desc("log_prob"), "term")
@@ -377,8 +404,7 @@ def lda_fit(corpus: DataFrame, k: int, no_below: float = 5.0, no_above: float =
     """(vocabulary model, LDA model) over all terms between the two document frequencies."""
     vocab = count_stage(min_df=no_below, max_df=no_above).fit(corpus)
     vectors = vocab.transform(corpus).persist()
-    lda = topic_model(k, passes, seed)
-    model = lda.fit(vectors)
+    model = topic_model(k, passes, seed).fit(vectors)
     vectors.unpersist()
     return vocab, model
 
@@ -420,32 +446,55 @@ def kmeans_fit(vectors: DataFrame, k: int, restarts: int = 10, seed: int = 0, ma
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def cluster_classifier(corpus: DataFrame, cluster: str = "cluster", max_iter: int = 100) -> DataFrame:
-    """Fit tf-idf + multinomial regression on cluster ids; the same documents with `dist`."""
+def one_vs_rest_shares(vectors: DataFrame, classes: int, label: str = "label", max_iter: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """<carry…, dist>: class shares of one binary regression per class, each probability divided by the sum of all.
+
+    Classes are 0 to `classes` - 1. A row to which every regression gives 0 has equal shares.
+    """
+    n = max(vectors.count(), 1)
+    out = vectors.select(*carry, label, "features")
+    for c in range(classes):
+        one = LogisticRegression(labelCol="_is", regParam=1.0 / n, standardization=False, maxIter=max_iter, predictionCol="_said", rawPredictionCol="_raw", probabilityCol=f"_p{c}")
+        fitted = one.fit(vectors.select("features", (F.col(label) == c).cast("double").alias("_is")))
+        out = fitted.transform(out).drop("_said", "_raw")
+    each = F.array(*[F.get(vector_to_array(f"_p{c}"), F.lit(1)) for c in range(classes)])
+    whole = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    return out.select(*carry, F.transform(each, lambda p: F.coalesce(F.try_divide(p, whole), F.lit(1.0 / classes))).alias("dist"))
+
+
+def cluster_classifier(corpus: DataFrame, cluster: str = "cluster", max_iter: int = 100, multinomial: bool = False) -> DataFrame:
+    """Fit tf-idf + regression on cluster ids 0, 1, …; the same documents with `dist`, a share for each cluster.
+
+    One regression per cluster against the rest, or with `multinomial` a joint one.
+    """
     labelled = corpus.withColumn("label", F.col(cluster).cast("double"))
-    lr = LogisticRegression(family="multinomial", regParam=1.0 / max(labelled.count(), 1), standardization=False,
-                            maxIter=max_iter)
-    model = Pipeline(stages=[*vector_stages("tfidf", None, None), lr]).fit(labelled)
-    return predict_proba(model, labelled).drop("label", "prediction")
+    if multinomial:
+        lr = LogisticRegression(family="multinomial", regParam=1.0 / max(labelled.count(), 1), standardization=False, maxIter=max_iter)
+        model = Pipeline(stages=[*vector_stages("tfidf", None, None), lr]).fit(labelled)
+        return predict_proba(model, labelled).drop("label", "prediction")
+    vectors = reuse(Pipeline(stages=vector_stages("tfidf", None, None)).fit(labelled).transform(labelled).select(*corpus.columns, "label", "features"))
+    classes = int(vectors.agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]) + 1
+    return one_vs_rest_shares(vectors, classes, "label", max_iter, tuple(corpus.columns))
 
 
 def topic_threshold_sweep(corpus: DataFrame, ks: list[int], percents: list[float], no_below: float = 3.0,
                           no_above: float = 0.1, seed: int = 0) -> DataFrame:
     """<num_topics, threshold, precision, recall, f1>, best F1 first.
 
-    One topic model per k serves every percentile; all percentiles of a k are judged in one
-    aggregate over its documents. `label` must be '1' or '0'.
+    The vocabulary and the vectors are made once. One topic model per k serves every percentile; all percentiles of a k are
+    judged in one aggregate over its documents. `label` must be '1' or '0'.
     """
     from ..functions.scores import entropy_by_k
     from .evaluate import _ratio
     from .ranking import exact_percentiles
 
     parts = []
+    vectors = count_stage(min_df=no_below, max_df=no_above).fit(corpus).transform(corpus).select("doc_id", "label", "features").persist()
     for k in ks:
-        vocab, lda = lda_fit(corpus, k, no_below, no_above, seed=seed)
-        probs = F.transform("topics", lambda t: t["prob"])
-        scored = cut_lineage(doc_topics(vocab, lda, corpus).select(
-            "doc_id", (F.col("label") == "1").alias("is_true"), entropy_by_k(probs, k).alias("entropy")))
+        lda = topic_model(k, seed=seed).fit(vectors)
+        shares = F.transform(truncated(vector_to_array("topicDistribution"), 0.01), lambda t: t["prob"])
+        scored = cut_lineage(lda.transform(vectors).select(
+            "doc_id", (F.col("label") == "1").alias("is_true"), entropy_by_k(shares, k).alias("entropy")))
         cuts = exact_percentiles(scored, "entropy", "doc_id", percents)
         sums = []
         for i, cut in enumerate(cuts):
@@ -458,4 +507,5 @@ def topic_threshold_sweep(corpus: DataFrame, ks: list[int], percents: list[float
             _ratio(F.col(f"tp{i}"), F.col("true")).alias("recall"),
             _ratio(2 * F.col(f"tp{i}"), F.col(f"said{i}") + F.col("true")).alias("f1"))
             for i, p in enumerate(percents)]))))
+    vectors.unpersist()
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("f1"), "num_topics", "threshold")

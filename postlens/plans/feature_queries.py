@@ -167,6 +167,17 @@ def feat_polarity(spark, sf):
     return O.polarity_by_table(docs(spark, sf), polarity_lexicon(spark, sf))
 
 
+@query("feat_polarity_fixed", POLARITY + f"""
+select doc_id, 'lsd_' || polarity || '_' || kind || '_' || lex.word as feature, count(*)::double as value
+from (select doc_id, unnest({S.split_ws('text')}) as w from documents) join (select *, left(word, 4) as head from lex where kind = 'partial')
+lex on left(w, 4) = head and starts_with(w, lex.word) group by all
+union all select doc_id, 'lsd_' || polarity || '_' || kind || '_' || word as feature, count(*)::double as value
+from (select doc_id, unnest({S.split_ws('text')}) as word from documents) join (select * from lex where kind = 'exact') lex using (word) group by all""")
+def feat_polarity_fixed(spark, sf):
+    """Stems of the lexicon match every word that begins with them."""
+    return O.polarity_by_table(docs(spark, sf), polarity_lexicon(spark, sf), fixed=True)
+
+
 @query("feat_polarity_lenient", POLARITY + f"""
 select doc_id, 'lsd_' || polarity as feature, count(*)::double as value
 from (select doc_id, unnest({S.split_ws(S.rx('lower(text)', P.QUESTION_BLANKS, ' '))}) as word from documents)

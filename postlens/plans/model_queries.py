@@ -8,13 +8,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scores import entropy_normalized
+from ..functions import features as X
 from ..functions.text import preprocess_tokens, vector_tokens
 from ..functions.words import stop_words
 from ..operators import models as M
 from ..operators import vectorize as V
-from ..operators.evaluate import f1_binary
+from ..operators import features as O
+from ..operators import model_tables as MT
+from ..operators import stages
+from ..operators.evaluate import METRICS, full_report
 from ..session import fresh_path, reuse
 from . import sqltext as S
+from .feature_queries import words_sql
 from .registry import query, table
 
 STOPS = stop_words(extra=True)
@@ -143,9 +148,9 @@ def _lda(spark, sf, k=4):
 
 @query("lda_fit")
 def lda_fit(spark, sf):
-    """Every term's weight in every topic."""
+    """Every term's weight in every topic, from the saved model's matrix."""
     _, vocab, model = _lda(spark, sf)
-    return M.show_topics(vocab, model, len(vocab.vocabulary))
+    return MT.topic_words(spark, vocab, model)
 
 
 @query("doc_topics")
@@ -215,13 +220,52 @@ def save_load_model(spark, sf):
     return M.predict_proba(M.load_model(path), unseen(spark, sf)).select("doc_id", "prediction")
 
 
+def _figures(report):
+    return report.select(*[c for c in report.columns if c not in ("matrix", *METRICS)], *[F.round(c, 6).alias(c) for c in METRICS],
+                         F.array_join(F.transform("matrix", lambda x: F.concat_ws(" ", x["label"].cast("int"), x["prediction"].cast("int"), x["n"])), ", ").alias("matrix"))
+
+
 @query("train_eval")
 def train_eval(spark, sf):
-    from ..operators.evaluate import binary_scores
-
+    """Every figure of the held-out half, and the matrix, beside the training accuracy."""
     corpus = labelled(spark, sf)
     _, score, held = M.train_eval(M.classifier_pipeline("nb"), corpus)
-    return binary_scores(held, 1.0).withColumn("training_accuracy", F.lit(score))
+    return _figures(full_report(held.withColumn("model", F.lit("nb")), ["model"], 1.0)).withColumn("training_accuracy", F.lit(score))
+
+
+@query("top_features_linear")
+def top_features_linear(spark, sf):
+    """The strongest terms of each class for two linear classifiers, from their saved coefficients."""
+    corpus, found = labelled(spark, sf), []
+    for name in ("lr", "lsvc"):
+        fitted = M.classifier_pipeline(name, max_iter=20).fit(corpus)
+        table_ = MT.coefficient_table(spark, fitted.stages[0], fitted.stages[-1]).withColumn("weight", F.round("weight", 6))
+        found.append(MT.top_coefficients(table_).select(F.lit(name).alias("model"), "label", "term", "weight", "rank"))
+    return found[0].unionByName(found[1])
+
+
+UNSEEN = f"""lab as (select doc_id, quality as label from labels semi join documents using (doc_id)),
+tf as materialized (select doc_id, label, term, count(*) as tf from (
+  select doc_id, unnest({S.tokens('text', STOPS)}) as term from documents semi join lab using (doc_id)) join lab using (doc_id) group by all),
+size as (select label, count(*) as n_c from lab group by label),
+vocab as materialized (select term from tf group by term having count(*) <= 0.8 * (select count(*) from lab)),
+own as (select tf.* from tf semi join vocab using (term)),
+tot as (select label, sum(tf) as t from own group by label),
+nct as (select term, label, sum(tf) as n from own group by all),
+lp as materialized (select term, label, ln((coalesce(n, 0) + 1.0) / (t + (select count(*) from vocab))) as log_prob
+  from vocab cross join tot left join nct using (term, label)),
+said as (select item_id, term, count(*) as tf from (select item_id, unnest({S.tokens('text', STOPS)}) as term from benchmark) group by all),
+s as (select b.item_id, size.label, ln(n_c / (select count(*) from lab)) + coalesce(sum(tf * log_prob), 0) as s from benchmark b cross join size
+  left join said on said.item_id = b.item_id left join lp on lp.term = said.term and lp.label = size.label group by b.item_id, size.label, n_c)"""
+
+
+@query("predict_from_text", f"with {UNSEEN} select item_id, arg_max(label, s)::double as prediction from s group by item_id")
+def predict_from_text(spark, sf):
+    """A saved pipeline, loaded again, takes unseen texts as they are."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("quality").cast("double").alias("label"), "text")
+    path = fresh_path(spark, "model")
+    M.save_model(stages.text_classifier("nb", stops=STOPS).fit(docs), path)
+    return M.load_model(path).transform(table(spark, sf, "benchmark")).select("item_id", "prediction")
 
 
 ALPHAS = M.GRIDS["nb"]["alpha"]
@@ -257,6 +301,26 @@ def grid_search(spark, sf):
     return _nb_grid(spark, sf)
 
 
+GRID_DICT = GRID.replace(f"""tf as materialized (select doc_id, label, fold, term, count(*) as tf from (
+  select doc_id, unnest({S.tokens('text', STOPS)}) as term from documents semi join lab using (doc_id)) join lab using (doc_id) group by all)""",
+    f"tf as materialized (select doc_id, label, fold, feature as term, value as tf from ({words_sql()}) join lab using (doc_id))").replace(
+    "train as materialized (", "every as materialized (").replace("tot as (select held", """chi as (select *, row_number() over (partition by held order by c desc, term) as r from (
+  select every.*, round((n0 - (n0 + n1) * d0 / (d0 + d1)) ** 2 / ((n0 + n1) * d0 / (d0 + d1)) + (n1 - (n0 + n1) * d1 / (d0 + d1)) ** 2 / ((n0 + n1) * d1 / (d0 + d1)), 6) as c
+  from every join size using (held))),
+train as materialized (select held, term, n0, n1 from chi where r <= 500),
+tot as (select held""")
+
+
+@query("grid_search_dict", f"with {GRID_DICT}")
+def grid_search_dict(spark, sf):
+    """The grid over extracted features, the 500 of highest chi-square chosen anew in each fold."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = O.as_rows(docs, X.words(F.col("text"), stop_words=stop_words()))
+    found = M.nb_grid_search(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), ALPHAS, features=rows, k_best=500)
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
 @query("cv_report", f"select place, params, mean, std from (with {GRID})")
 def cv_report(spark, sf):
     return _nb_grid(spark, sf).select("place", "params", "mean", "std")
@@ -264,8 +328,10 @@ def cv_report(spark, sf):
 
 @query("model_sweep")
 def model_sweep(spark, sf):
+    """Cross-validated accuracy of each family, and every held-out figure of the best, refitted."""
     report, held = M.model_sweep(labelled(spark, sf))
-    return report.crossJoin(f1_binary(held, 1.0).withColumnRenamed("f1", "held_out_f1"))  # one row
+    judged = _figures(full_report(held.withColumn("place", F.lit(1)), ["place"], 1.0)).withColumnRenamed("n", "n_held")
+    return report.join(judged, "place", "left")
 
 
 @query("topic_threshold_sweep")

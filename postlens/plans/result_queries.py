@@ -307,6 +307,34 @@ def f1_weighted(spark, sf):
     return _six(M.f1_weighted(multi_pairs(spark, sf)))
 
 
+GUESSES = f"""with {MULTI}, g as (select 'by length and turn' as model, label, prediction from multi
+  union all select 'by turn', role, case when turn % 2 = 1 then 'user' else 'assistant' end from conversations),
+side as (select model, label as c, 1 as s, 0 as p, (label = prediction)::int as tp from g union all select model, prediction, 0, 1, 0 from g),
+per as (select model, c, sum(s) as support, sum(p) as predicted, sum(tp) as tp from side group by model, c),
+f as (select *, coalesce(2 * tp / nullif(support + predicted, 0), 0) as f1 from per)"""
+
+
+def guesses(spark, sf):
+    """Two ways to guess a speaker's role, as two models."""
+    by_turn = table(spark, sf, "conversations").select(F.lit("by turn").alias("model"), F.col("role").alias("label"),
+                                                      F.when(F.col("turn") % 2 == 1, "user").otherwise("assistant").alias("prediction"))
+    return multi_pairs(spark, sf).select(F.lit("by length and turn").alias("model"), "label", "prediction").unionByName(by_turn)
+
+
+@query("full_report", GUESSES + """ select model, sum(support)::bigint as n, round(sum(tp) / sum(support), 6) as accuracy,
+round(coalesce(sum(tp) filter (c = 'user') / nullif(sum(predicted) filter (c = 'user'), 0), 0), 6) as precision,
+round(coalesce(sum(tp) filter (c = 'user') / nullif(sum(support) filter (c = 'user'), 0), 0), 6) as recall,
+round(coalesce(sum(f1) filter (c = 'user'), 0), 6) as f1, round(2 * sum(tp) / sum(support + predicted), 6) as f1_micro,
+round(avg(f1), 6) as f1_macro, round(sum(f1 * support) / sum(support), 6) as f1_weighted,
+(select string_agg(label || '>' || prediction || ':' || n, ' ' order by label, prediction) from (
+  select label, prediction, count(*) as n from g where g.model = f.model group by all)) as matrix from f group by model""")
+def full_report(spark, sf):
+    """All figures and the matrix of several models in one aggregate."""
+    found = M.full_report(guesses(spark, sf), ["model"], "user")
+    cells = F.transform("matrix", lambda x: F.concat(x["label"], F.lit(">"), x["prediction"], F.lit(":"), x["n"].cast("string")))
+    return _six(found.withColumn("matrix", F.array_join(cells, " ")))
+
+
 # --- flagship -----------------------------------------------------------------------------
 
 
