@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,16 @@ def partitions_for(rows: int, per_partition: int, least: int = 1, most: int = 1
     return int(min(max(-(-rows // per_partition), least), most))
 
 
+def slim() -> None:
+    """Give memory that a reused Python worker holds from earlier tasks back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from .common import forget, ship, stored
+from .common import forget, ship, slim, stored
 from .components import components
 from .exact_dedup import only_asked
 from .near_dup import shingle_set
@@ -155,6 +155,7 @@ def _tiles(per_cent: int) -> Run:
     """<tile, role, row> of each <row, set>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slim()
         for batch in batches:
             rows, held, size = batch.column("row").to_pylist(), [], 0
             for row, found in zip(rows, batch.column("set"), strict=True):

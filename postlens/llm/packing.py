@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, slim, stored
 from .tokens import Encoder
 
 CAPACITY, END_ID = 4096, 1
 #: (share of CAPACITY from which a piece is large, number of groups); the plan with the fewest sequences is taken, the first
 #: of equals.
 SCHEMES = ((1 / 3, 24), (1 / 3, 96), (1 / 8, 24), (1 / 8, 96))
-CACHE_BYTES, BATCH_IDS = 128 << 20, 1 << 20  # of a task's token cache, and ids of a batch of pieces
+CACHE_BYTES, SMALL_CACHE_BYTES = 128 << 20, 32 << 20  # of a task's token cache; the small one where tasks hold ids as well
+BATCH_IDS = 1 << 19  # of a batch of pieces
 
 Lot = tuple[int, int]  # first sequence, number of sequences; all of a lot hold the same lengths
 
@@ -196,7 +197,7 @@ def _substitute(plan: Plan, config: np.ndarray, times: int, pools: list[list[lis
         plan.put(CAPACITY - filled, (first, count))
 
 
-def _cutter(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(path: str, with_ids: bool, cache_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pieces of <key, text>, each with its task, its place among the task's pieces of its length, and its ids on request."""
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
     names = ["key", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][:8 if with_ids else 7]
@@ -204,7 +205,8 @@ def _cutter(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, seen, task = Encoder(path, CACHE_BYTES), defaultdict(int), TaskContext.get().partitionId()
+        slim()
+        encoder, seen, task = Encoder(path, cache_bytes), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
             rows, held = [], 0
 
@@ -255,14 +257,14 @@ def _placer(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _placed(docs: DataFrame, path: str, key: str, text: str, with_ids: bool) -> DataFrame:
+def _placed(docs: DataFrame, path: str, key: str, text: str, with_ids: bool, cache_bytes: int) -> DataFrame:
     """Pieces with their places. Texts are tokenized once; what comes after works on the stored pieces."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     head, ids = f"key {kind}, piece int, start long, length long, ids_crc32 long", ["ids"] if with_ids else []
     shape = f"{head}, task long, place long" + (", ids binary" if with_ids else "")
-    pieces = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cutter(path, with_ids), shape), "pieces")
+    pieces = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cutter(path, with_ids, cache_bytes), shape), "pieces")
     counts = stored(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -271,19 +273,19 @@ def _placed(docs: DataFrame, path: str, key: str, text: str, with_ids: bool) ->
     return ranked.mapInArrow(_placer(plan_packing(histogram)), f"{head}, sequence_id long, offset long" + (", input_ids array<int>" if with_ids else ""))
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """<key, piece, start, length, ids_crc32, sequence_id, offset>, a row per piece.
 
     A document is its ids and END_ID; null text counts as empty, so each row has at least one piece. Only documents of more
     than CAPACITY ids are cut. Null or repeated keys are packed like others. An empty table gives no rows. Only the
     histogram of lengths, CAPACITY numbers at most, reaches the driver, and only the plan made of it the tasks.
     """
-    return _placed(docs, path, key, text, with_ids=False).withColumnRenamed("key", key)
+    return _placed(docs, path, key, text, with_ids=False, cache_bytes=cache_bytes).withColumnRenamed("key", key)
 
 
-def packed_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache_bytes: int = SMALL_CACHE_BYTES) -> DataFrame:
     """<sequence_id, offset, key, piece, input_ids>: the packed sequences themselves, a row per piece of a sequence.
 
     Every row of `docs` is packed, as `pack` does it; repeated and null keys too. Other columns are not read.
     """
-    return _placed(docs, path, key, text, with_ids=True).select("sequence_id", "offset", F.col("key").alias(key), "piece", "input_ids")
+    return _placed(docs, path, key, text, with_ids=True, cache_bytes=cache_bytes).select("sequence_id", "offset", F.col("key").alias(key), "piece", "input_ids")
