@@ -1,5 +1,6 @@
 """Mixing, packing and toxicity: invariants, exact round trips, held-out accuracy."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -200,6 +201,96 @@ def test_swapped_names_keep_the_score(spark, monkeypatch):
     assert abs(scores[30.0][1] - scores[30.0][2]) < 0.05 and scores[30.0][3] > 0.3
 
 
+def test_loss_and_gradient():
+    rng = np.random.default_rng(4)
+    labels, w = rng.integers(0, 2, 9).astype(float), rng.normal(size=6)
+    own = [sorted(rng.choice(5, 2, replace=False).tolist()) for _ in labels]
+    swaps = [[None, ([0], [1]), ([], [2]), *[None] * 6], [([3], []), *[None] * 8]]
+    rows, cols = toxicity._csr(own)
+    pairs = [(2, np.array([0, 0, 1]), np.array([0, 1, 2]), np.array([1.0, -1, -1])), (1, np.array([0]), np.array([3]), np.array([1.0]))]
+
+    def plain(w):
+        total = 0.0
+        for y, has in zip(labels, own):
+            p = 1 / (1 + np.exp(-(w[has].sum() + w[-1])))
+            total -= (y * np.log(p) + (1 - y) * np.log(1 - p)) / len(labels)
+        for one in swaps:
+            gaps = [w[c[0]].sum() - w[c[1]].sum() for c in one if c is not None]
+            total += 0.7 * sum(g * g for g in gaps) / len(gaps)
+        return total + toxicity.L2 / 2 * (w[:-1] ** 2).sum()
+
+    loss, grad = toxicity.loss_and_gradient(w, labels, rows, cols, pairs, 0.7)
+    assert abs(loss - plain(w)) < 1e-9
+    for i in range(len(w)):
+        step = np.zeros_like(w)
+        step[i] = 1e-6
+        assert abs((plain(w + step) - plain(w - step)) / 2e-6 - grad[i]) < 1e-6
+    fitted, intercept = toxicity.fit(labels, own, swaps, 5, 0.7)
+    assert plain(np.r_[fitted, intercept]) < min(plain(np.zeros(6)), loss)
+
+
+def test_mutual_nearest():
+    rng = np.random.default_rng(5)
+    table = np.vstack([rng.integers(0, 4, (40, 8)), np.zeros((2, 8)), np.ones((3, 8))]).astype(float)
+    unit = [r / (np.linalg.norm(r) or 1) for r in table]
+    best = []
+    for i, r in enumerate(unit):
+        near = [(-round(float(r @ o), 9), j) for j, o in enumerate(unit) if j != i]
+        best.append(min(near)[1] if min(near)[0] < 0 else -1)
+    wanted = [(i, j) for i, j in enumerate(best) if i < j and best[j] == i]
+    assert toxicity.mutual_nearest(table, block=7) == wanted and wanted
+    assert toxicity.mutual_nearest(np.zeros((3, 4))) == []
+
+
+def companions(spark, n=1200):
+    """Two words stand in the same places of texts of both labels, so they are a kind that no list names."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(n):
+        toxic = int(rng.random() < 0.3)
+        words = [f"the {rng.choice(['zorbs', 'quills'])} went home", f"a {rng.choice(['lamp', 'stone'])} fell", rng.choice(["vileness", "x"]) if toxic else "y"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+
+
+def test_kinds_are_derived_where_the_list_finds_nothing(spark, monkeypatch):
+    rows = companions(spark)
+    sample = rows.select("text", F.col("toxic").alias("label"))
+    counts = sample.mapInArrow(toxicity._counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    totals = dict(sample.groupBy("label").count().collect())
+    pairs = {tuple(sorted(p)) for p in toxicity.derived_kinds(sample, counts, totals[1], totals[0])}
+    assert {("quills", "zorbs"), ("lamp", "stone")} <= pairs
+    assert not any({"vileness", "x", "y"} & set(p) for p in pairs)
+    assert not any("zorbs" in p for p in toxicity.derived_kinds(sample, counts, totals[1], totals[0], taken=["zorbs"]))
+    monkeypatch.setattr(toxicity.fit, "__defaults__", (30.0,))
+    fitted = toxicity.fit_sample(rows, rows)
+    by_origin = {s.origin: s for s in fitted.swaps}
+    assert by_origin["listed"].texts == 0 and by_origin["derived"].texts > 800 and by_origin["derived"].mean_change < 0.02
+    # texts made of the kinds' words keep their score when the words are swapped
+    swap = {"zorbs": "quills", "quills": "zorbs", "lamp": "stone", "stone": "lamp"}
+    texts = [" ".join(p) for p in itertools.product(["the zorbs", "the quills"], ["a lamp", "a stone"], ["vileness", "went home"])]
+    both = spark.createDataFrame([(2 * i + k, " ".join(swap.get(w, w) if k else w for w in t.split())) for i, t in enumerate(texts) for k in (0, 1)],
+                                 "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(both, fitted[:2]).collect()}
+    assert all(abs(scores[2 * i] - scores[2 * i + 1]) < 0.02 for i in range(len(texts)))
+
+
+def test_swaps_take_a_table_of_kinds(spark):
+    rows = companions(spark, 300)
+    report = {s.origin: s for s in toxicity.fit_sample(rows, rows, identities={"xx": [("zorbs", "quills")]}).swaps}
+    assert report["listed"].pairs == 2 and report["listed"].texts > 200
+    terms = [t for kind in toxicity.listed_kinds() for t in kind]
+    swap = toxicity.swap_map(toxicity.listed_kinds())
+    assert set(swap) == set(terms) == set(swap.values()) and all(t == t.lower() and toxicity.words_of(t) == {t} for t in terms)
+
+
+def test_one_row_for_each_key_teaches(spark):
+    rows = labelled(spark, 400)
+    repeated = rows.unionByName(rows.where("doc_id < 50")).unionByName(rows.where("doc_id < 50"))
+    assert toxicity.train(repeated, rows) == toxicity.train(rows, rows)
+
+
 def test_held_out_accuracy(spark):
     rows = labelled(spark)
     got = toxicity.score(rows, toxicity.train(rows, rows)).join(rows.select("doc_id", "toxic"), "doc_id").collect()
