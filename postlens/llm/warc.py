@@ -22,6 +22,8 @@ MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ID = "<urn:page:%s>"
+DATE = "1970-01-01T00:00:00Z"  # of the records, fixed so that reruns write equal archives
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = ("path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, "
           "declared_digest string, payload binary, piece binary")
 
@@ -36,29 +38,30 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def _record(kind: Column, key: Column, url: Column, digest: Column, refers: Column, payload: Column) -> Column:
+def _record(kind: Column, key: Column, url: Column, digest: Column, refers: Column, payload: Column, date: str) -> Column:
     """One record without the two line ends after it; a revisit has the HTTP head only."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     ident = lambda c: F.format_string(ID, F.coalesce(c.cast("string"), F.lit("none")))
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.when(kind == "revisit", head).otherwise(F.concat(head, payload))
     return F.concat(
-        F.lit(MAGIC.decode()), line("WARC-Type", kind), line("WARC-Record-ID", ident(key)),
+        F.lit(MAGIC.decode()), line("WARC-Type", kind), line("WARC-Record-ID", ident(key)), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]+", " ")),
         F.when(refers.isNotNull(), line("WARC-Refers-To", ident(refers))).otherwise(""),
+        F.when(kind == "revisit", line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-               least_bytes: int = 0) -> None:
+               least_bytes: int = 0, date: str = DATE) -> None:
     """Write a record for each row, as uncompressed archives, one per task.
 
     Of rows with equal payloads of at least `least_bytes`, the one with the smallest key is a response, the others revisit
     it without a payload. Null html is an empty payload; a null url leaves its header out; a null key is written as
     `none` and never is the smallest next to another key. Rows that repeat the smallest key are responses alike. Only pages
-    whose payload may be repeated are shuffled. Other columns are not read.
+    whose payload may be repeated are shuffled. Other columns are not read. All records are dated `date`.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), payload.alias("_payload"))
@@ -77,7 +80,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     both = alone.withColumn("_kind", F.lit("response")).unionByName(moved.drop("_digest", "_n"))
     refers = F.when(F.col("_kind") == "revisit", F.col("_first"))
     both.select(_record(F.col("_kind"), F.col("_key"), F.col("_url"), base32_sha1(F.col("_payload").cast("binary")), refers,
-                        F.col("_payload")).alias("value")).write.option("lineSep", END.decode()).text(path)
+                        F.col("_payload"), date).alias("value")).write.option("lineSep", END.decode()).text(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -194,7 +197,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    split, place, parts, start, want, fields, broken = None, 0, [], 0, 0, {}, False
+    split, place, parts, have, start, want, fields, broken = None, 0, [], 0, 0, 0, {}, False
 
     def left() -> list[tuple]:
         """Parts of the record still open, as pieces; the first names itself in record_id."""
@@ -215,6 +218,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if parts:
             parts.append(MAGIC + content)
+            have += len(MAGIC) + len(content)
         elif broken:
             continue
         elif entry is None or at < entry:
@@ -228,7 +232,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             fields, skip, size = head
             parts, start, want = [MAGIC + content], base + at, len(MAGIC) + skip + size
-        if sum(map(len, parts)) >= want:
+            have = len(MAGIC) + len(content)
+        if have >= want:
             whole = b"".join(parts)
             out.append(_parsed(split[0], start, fields, whole[len(MAGIC):][skip:want - len(MAGIC)]))
             held += len(whole)
@@ -276,7 +281,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write pages to archives, read them back: <page_id, payload_bytes, payload_digest, record_type, refers_to>.
 
-    A revisit takes size and digest from the response it refers to.
+    A revisit takes size and digest from the response it refers to. Page ids are integers; others come back null.
     """
     path = path or fresh_path(spark, "warc")
     write_warc(pages, path)

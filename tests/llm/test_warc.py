@@ -64,3 +64,22 @@ def test_null_and_repeated_keys(spark):
     rows = spark.createDataFrame([(None, "u", "a"), (5, "u", "a"), (5, "u", "a"), (None, "u", "b")], "page_id long, url string, html string")
     got = warc.round_trip(spark, rows).collect()
     assert sorted((r["page_id"] is None, r["record_type"]) for r in got) == [(False, "response"), (False, "response"), (True, "response"), (True, "revisit")]
+
+
+def test_every_record_has_the_mandatory_fields(spark):
+    path = fresh_path(spark, "warc")
+    warc.write_warc(pages(spark).where("page_id <> 7 and page_id <> 6"), path, date="2024-05-06T07:08:09Z")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").collect()
+    kinds = set()
+    for file in files:
+        data, at = bytes(file["content"]), 0
+        while at < len(data):
+            fields, skip, size = warc._head(data[at + len(warc.MAGIC):])
+            assert data[at:].startswith(warc.MAGIC) and fields["warc-date"] == "2024-05-06T07:08:09Z"
+            assert {"warc-type", "warc-record-id", "content-length"} <= fields.keys()
+            assert fields.get("warc-profile") == (warc.PROFILE if fields["warc-type"] == "revisit" else None)
+            kinds.add(fields["warc-type"])
+            at += len(warc.MAGIC) + skip + size
+            assert data[at:at + len(warc.END)] == warc.END
+            at += len(warc.END)
+    assert kinds == {"response", "revisit"}
