@@ -58,6 +58,11 @@ def sgd(spark, sf):
     return _fitted_predictions(spark, sf, "sgd", {"loss": "log", "alpha": 0.0001})
 
 
+@query("sgd_hinge")
+def sgd_hinge(spark, sf):
+    return _fitted_predictions(spark, sf, "sgd", {"loss": "hinge", "alpha": 0.0001})
+
+
 @query("lsvc")
 def lsvc(spark, sf):
     return _fitted_predictions(spark, sf, "lsvc", {"C": 1})
