@@ -495,7 +495,7 @@ def topic_threshold_sweep(corpus: DataFrame, ks: list[int], percents: list[float
         shares = F.transform(truncated(vector_to_array("topicDistribution"), 0.01), lambda t: t["prob"])
         scored = cut_lineage(lda.transform(vectors).select(
             "doc_id", (F.col("label") == "1").alias("is_true"), entropy_by_k(shares, k).alias("entropy")))
-        cuts = exact_percentiles(scored, "entropy", "doc_id", percents)
+        cuts = exact_percentiles(scored, "entropy", percents)
         sums = []
         for i, cut in enumerate(cuts):
             said = F.col("entropy") >= F.lit(cut)

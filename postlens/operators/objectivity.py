@@ -11,7 +11,7 @@ from .ranking import exact_percentiles
 
 def entropy_stats(scored: DataFrame, value: str = "entropy", key: str = "pos") -> DataFrame:
     """One row: mean, med, std, var (population), max, min."""
-    med = exact_percentiles(scored, value, key, [50.0])[0]
+    med = exact_percentiles(scored, value, [50.0])[0]
     return scored.agg(
         F.avg(value).alias("mean"), F.lit(med).cast("double").alias("med"), F.stddev_pop(value).alias("std"),
         F.var_pop(value).alias("var"), F.max(value).alias("max"), F.min(value).alias("min"))
@@ -30,7 +30,7 @@ def label_share(labelled: DataFrame) -> DataFrame:
 
 def entropy_summary(scored: DataFrame, value: str = "entropy", key: str = "pos") -> DataFrame:
     """One row: median, mean and sample standard deviation."""
-    med = exact_percentiles(scored, value, key, [50.0])[0]
+    med = exact_percentiles(scored, value, [50.0])[0]
     return scored.agg(F.lit(med).cast("double").alias("median"), F.avg(value).alias("mean"),
                       F.stddev_samp(value).alias("std"))
 
@@ -54,7 +54,7 @@ def entropy_histogram(scored: DataFrame, value: str = "entropy", bins: int = 10)
 
 def entropy_boxplot(scored: DataFrame, value: str = "entropy", key: str = "pos") -> DataFrame:
     """One row: quartiles, whiskers at 1.5 IQR and the number of outliers."""
-    q1, q2, q3 = exact_percentiles(scored, value, key, [25.0, 50.0, 75.0])
+    q1, q2, q3 = exact_percentiles(scored, value, [25.0, 50.0, 75.0])
     if q1 is None:
         return scored.sparkSession.createDataFrame(
             [], "q1 double, median double, q3 double, whisker_low double, whisker_high double, n_outliers long")

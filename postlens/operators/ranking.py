@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
@@ -39,24 +40,63 @@ def dense_index(df: DataFrame, order: Iterable[str | Column], name: str = "rank"
     return fixed.withColumn("_at", at).withColumn(name, base + place).drop("_at")
 
 
-def exact_percentiles(df: DataFrame, value: str, key: str, percents: list[float]) -> list[float | None]:
-    """Linearly interpolated percentiles, exact at any size.
+DIGIT = 11  # bits that a counting pass settles
+REST = 50_000  # rows left from which the last pass settles all bits that remain
 
-    Only the rows at the needed places leave the sorted frame; `key` splits runs of equal
-    values, so a value shared by a third of the rows still spreads over many tasks.
+
+def _ordered_bits(value: Column) -> Column:
+    """A double's bits as a long of the same order: negatives have all bits but the sign turned; -0 equals 0, NaN comes last."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(value.isNotNull(), F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+
+
+def _double_of(ordered: int) -> float:
+    bits = ordered ^ ((1 << 63) - 1) if ordered < 0 else ordered
+    return struct.unpack(">d", struct.pack(">q", bits))[0]
+
+
+def _values_at(rows: DataFrame, n: int, places: list[int]) -> dict[int, float]:
+    """{place: value} of the rows' column `b` in ascending order, by counting passes from the highest bits down.
+
+    A pass counts rows by the next bits, only among those that share the bits of a wanted place; tasks sum their own rows
+    first, and at most 2^DIGIT counts a place (or REST in the last pass) reach the driver. A value that many rows share is
+    one count.
+    """
+    open_, shift, size = {0: (0, places)}, 64, n
+    while shift:
+        step = shift if size <= REST else min(DIGIT, shift)
+        first, shift = shift == 64, shift - step
+        inside = rows if first else rows.where(F.shiftright("b", shift + step).isin(list(open_)))
+        counts = inside.groupBy(F.shiftright("b", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        before, size = {q: start for q, (start, _) in open_.items()}, 0
+        inner: dict[int, tuple[int, list[int]]] = {}
+        for p, own in sorted((r["p"], r["n"]) for r in counts):
+            q = 0 if first else p >> step
+            start, before[q] = before[q], before[q] + own
+            mine = [x for x in open_[q][1] if start <= x < start + own]
+            if mine:
+                inner[p], size = (start, mine), size + own
+        open_ = inner
+    return {x: _double_of(b) for b, (_, mine) in open_.items() for x in mine}
+
+
+def exact_percentiles(df: DataFrame, value: str, percents: list[float]) -> list[float | None]:
+    """Linearly interpolated percentiles, exact at any size, without a sort: the wanted rows' values are found bit by bit.
+
+    Nulls are left out; NaN is greater than all other values.
     """
-    indexed = dense_index(df.select(value, key).where(F.col(value).isNotNull()), [value, key], "_i", 0)
-    n = indexed.count()
+    rows = df.select(_ordered_bits(F.col(value)).alias("b")).where("b is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    n = rows.count()
     if n == 0:
+        rows.unpersist()
         return [None] * len(percents)
     spots = [p / 100 * (n - 1) for p in percents]
-    wanted = sorted({int(s) for s in spots} | {min(int(s) + 1, n - 1) for s in spots})
-    rows = {r["_i"]: r["v"] for r in indexed.where(F.col("_i").isin(wanted))
-            .select("_i", F.col(value).cast("double").alias("v")).collect()}
+    at = _values_at(rows, n, sorted({int(s) for s in spots} | {min(int(s) + 1, n - 1) for s in spots}))
+    rows.unpersist()
     out = []
     for s in spots:
-        lo, hi = rows[int(s)], rows[min(int(s) + 1, n - 1)]
-        out.append(lo + (hi - lo) * (s - int(s)))
+        lo, hi = at[int(s)], at[min(int(s) + 1, n - 1)]
+        out.append(lo if lo == hi or s == int(s) else lo + (hi - lo) * (s - int(s)))
     return out
 
 

@@ -101,6 +101,30 @@ def dict_vectorize(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return lookup_join(rows, names, ["feature"]).select(key, "column", "value")
 
 
+def hash_place(name: Column, width: int) -> tuple[Column, Column]:
+    """(column 0..width-1, sign 1 or -1) of a feature name, from separate digits of its digest. No dictionary is needed."""
+    digest = F.md5(name)
+    number = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long")
+    return (number(1, 8) % width).cast("int"), F.when(number(9, 1) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def hash_vectorize(rows: DataFrame, width: int = 1 << 18, key: str = "doc_id", name: str = "feature", value: str = "value") -> DataFrame:
+    """<doc_id, feature, value> → <doc_id, column, value> over an open vocabulary: names go to columns by a signed hash.
+
+    Names that share a column are added up with their signs, so that their errors cancel on average; sums of 0 are left
+    out. Nothing is fitted, so unseen names have a column too.
+    """
+    column, sign = hash_place(F.col(name), width)
+    summed = rows.groupBy(key, column.alias("column")).agg(F.sum(sign * F.col(value)).alias("value"))
+    return summed.where(F.col("value") != 0)
+
+
+def hash_collisions(rows: DataFrame, width: int = 1 << 18, name: str = "feature") -> DataFrame:
+    """<column, n_features> of the columns that several names share."""
+    names = rows.select(name).distinct()
+    return names.groupBy(hash_place(F.col(name), width)[0].alias("column")).agg(F.count(F.lit(1)).alias("n_features")).where("n_features > 1")
+
+
 def chi2(rows: DataFrame, labels: DataFrame, key: str = "doc_id", name: str = "term", value: str = "value",
          label: str = "label") -> DataFrame:
     """<term, chi2>: Σ over classes of (O−E)²/E, O the feature total in the class and E the

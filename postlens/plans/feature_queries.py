@@ -231,10 +231,30 @@ def merge_features(spark, sf):
                                      O.as_rows(corpus, X.emotion_words(t, EMOTIONS))])
 
 
+TAGS = {"DT": ["the", "der", "die", "la", "le"], "CC": ["and", "und", "et", "y"]}
+POLAR = {"positive": {"exact": ["the", "der", "la"], "partial": ["with"]}, "negative": {"exact": ["that", "und"], "partial": ["les", "was"]}}
+
+
+def tags_sql(source="documents"):
+    tag = "case " + " ".join(f"when word in {S.in_list(v)} then {S.lit(k)}" for k, v in TAGS.items()) + " else 'NN' end"
+    return f"""select doc_id, tag as feature, round(avg(share), 6) as value from (
+  select doc_id, sent, {tag} as tag, count(*) / any_value(n) as share from (
+    select doc_id, sent, len(ws) as n, unnest(ws) as word from (
+      select doc_id, sent, {S.words_and_marks('lower(s)')} as ws from (
+        select doc_id, unnest(range(len(ss))) as sent, unnest(ss) as s
+        from (select doc_id, {S.sentences('text')} as ss from {source} where {S.has_text('text')})))) group by all) group by doc_id, tag"""
+
+
+def polar_sql(source="documents", text="text"):
+    lex = ", ".join(f"({S.lit(p)}, {S.lit(k)}, {S.lit(w)})" for p, kinds in POLAR.items() for k, listed in kinds.items() for w in listed)
+    return f"""select doc_id, 'lsd_' || polarity || '_' || kind || '_' || word as feature, count(*)::double as value
+from (select doc_id, unnest({S.split_ws(text)}) as word from {source}) join (values {lex}) lex(polarity, kind, word) using (word) group by all"""
+
+
 def _extract_sql():
     body = f"array_to_string({S.tokens('text', STOPS)}, ' ')"
-    parts = [emoticons_sql(), words_sql(), punctuation_sql(), uppercase_sql(), five_w_sql("b"), ngrams_sql(1, 1, "b"),
-             emotion_sql("b"), interrogative_sql("b"), sentence_len_sql("b")]
+    parts = [emoticons_sql(), words_sql(), tags_sql(), punctuation_sql(), uppercase_sql(), five_w_sql("b"), ngrams_sql(1, 1, "b"),
+             emotion_sql("b"), polar_sql("b"), interrogative_sql("b"), sentence_len_sql("b")]
     union = " union all ".join(f"select *, {i} as o from ({p})" for i, p in enumerate(parts))
     return f"""with b as materialized (select doc_id, {body} as text from documents)
 select doc_id, feature, arg_max(value, o) as value from ({union}) group by doc_id, feature"""
@@ -242,6 +262,9 @@ select doc_id, feature, arg_max(value, o) as value from ({union}) group by doc_i
 
 @query("extract_all", _extract_sql())
 def extract_all(spark, sf):
-    options = {"emoticons": MARKS, "word_feature": {"stop_words": STOPS}, "fiveWoneH": "111111", "ngrams": (1, 1),
-               "emotion_words": EMOTIONS}
-    return O.extract(docs(spark, sf), options, preprocessed=True, stops=STOPS)
+    """All eleven families in one scan."""
+    options = {"emoticons": MARKS, "word_feature": {"stop_words": STOPS}, "pos": TAGS, "fiveWoneH": "111111", "ngrams": (1, 1),
+               "emotion_words": EMOTIONS, "lsd_words": POLAR}
+    rows = O.extract(docs(spark, sf), options, preprocessed=True, stops=STOPS)
+    shares = F.col("feature").isin([*TAGS, "NN"])  # means, whose last digit depends on the order of adding
+    return rows.withColumn("value", F.when(shares, F.round("value", 6)).otherwise(F.col("value")))

@@ -13,6 +13,7 @@ from ..session import fresh_path
 from ..sources import readers as I
 from ..sources import writers as W
 from . import sqltext as S
+from .model_queries import STOPS, UNSEEN
 from .registry import query, table
 from .result_queries import DIST, RANKED, clustered, scored, TOP, annotations
 
@@ -158,12 +159,16 @@ def write_dedup(spark, sf):
     return I.load_positioned(spark, path)
 
 
-@query("write_predictions", f"""select case when length(text) > 300 then '1' else '0' end as label, {LINE} as text, count(*) as n
-from benchmark group by all""")
+@query("write_predictions", f"""with {UNSEEN}, said_label as (select item_id, arg_max(label, s) as label from s group by item_id)
+select label::integer::varchar as label, {LINE} as text, count(*) as n from benchmark join said_label using (item_id) group by all""")
 def write_predictions(spark, sf):
+    """Labels that a classifier learnt from the documents gives the unseen passages."""
+    from ..operators.stages import text_classifier
+
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("quality").cast("double").alias("label"), "text")
+    said = text_classifier("nb", stops=STOPS).fit(docs).transform(table(spark, sf, "benchmark"))
     path = fresh_path(spark, "predictions")
-    guess = F.when(F.length("text") > 300, "1").otherwise("0").alias("label")
-    W.write_predictions(table(spark, sf, "benchmark").select(guess, "text"), path)
+    W.write_predictions(said.select(F.col("prediction").cast("int").cast("string").alias("label"), "text"), path)
     return I.load_labelled(spark, path).groupBy("label", "text").agg(F.count(F.lit(1)).alias("n"))
 
 

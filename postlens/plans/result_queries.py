@@ -80,7 +80,7 @@ PERCENTS = [20, 30, 40, 50, 60, 70, 80, 90]
 @query("percentile_threshold", f"with {DIST} " + " union all ".join(
     f"select {p}::bigint as percent, round(quantile_cont(entropy, {p / 100}), 6) as threshold from scored" for p in PERCENTS))
 def percentile_threshold(spark, sf):
-    cuts = R.exact_percentiles(entropies(spark, sf), "entropy", "pos", [float(p) for p in PERCENTS])
+    cuts = R.exact_percentiles(entropies(spark, sf), "entropy", [float(p) for p in PERCENTS])
     return spark.createDataFrame([(p, float(c)) for p, c in zip(PERCENTS, cuts)], "percent long, threshold double") \
         .withColumn("threshold", F.round("threshold", 6))
 
@@ -89,7 +89,7 @@ def percentile_threshold(spark, sf):
 select pos, case when entropy >= t then '1' else '0' end as label from scored, t""")
 def objective_label(spark, sf):
     rows = entropies(spark, sf)
-    cut = R.exact_percentiles(rows, "entropy", "pos", [60.0])[0]
+    cut = R.exact_percentiles(rows, "entropy", [60.0])[0]
     return J.objective_label(rows, cut).select("pos", "label")
 
 
@@ -98,7 +98,7 @@ select count(*) as n_rows, count_if(entropy >= t)::bigint as n_objective,
 printf('%.2f', count_if(entropy >= t) / count(*))::double as share from scored, t""")
 def objective_share(spark, sf):
     rows = entropies(spark, sf)
-    cut = R.exact_percentiles(rows, "entropy", "pos", [50.0])[0]
+    cut = R.exact_percentiles(rows, "entropy", [50.0])[0]
     return J.label_share(J.objective_label(rows, cut))
 
 

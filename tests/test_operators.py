@@ -52,8 +52,8 @@ def test_percentiles_with_a_hot_value(spark):
     values = [0.0] * 700 + [i / 7 for i in range(300)]
     df = spark.createDataFrame(list(enumerate(values)), "pos long, entropy double")
     want = np.percentile(values, [0, 25, 50, 80, 99, 100])
-    assert R.exact_percentiles(df, "entropy", "pos", [0.0, 25.0, 50.0, 80.0, 99.0, 100.0]) == pytest.approx(list(want))
-    assert R.exact_percentiles(df.limit(0), "entropy", "pos", [50.0]) == [None]
+    assert R.exact_percentiles(df, "entropy", [0.0, 25.0, 50.0, 80.0, 99.0, 100.0]) == pytest.approx(list(want))
+    assert R.exact_percentiles(df.limit(0), "entropy", [50.0]) == [None]
 
 
 def test_quintiles(spark):
