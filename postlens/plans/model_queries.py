@@ -306,13 +306,6 @@ def grid_search(spark, sf):
     return _nb_grid(spark, sf)
 
 
-@query("grid_search_lr")
-def grid_search_lr(spark, sf):
-    """The whole regression grid, both penalties and nine weights, over ten folds."""
-    found = M.grid_search(labelled(spark, sf), "lr")
-    return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
-
-
 GRID_DICT = GRID.replace(f"""tf as materialized (select doc_id, label, fold, term, count(*) as tf from (
   select doc_id, unnest({S.tokens('text', STOPS)}) as term from documents semi join lab using (doc_id)) join lab using (doc_id) group by all)""",
     f"tf as materialized (select doc_id, label, fold, feature as term, value as tf from ({words_sql()}) join lab using (doc_id))").replace(
