@@ -113,3 +113,13 @@ chosen as (select feature from chi order by round(c, 6) desc, feature limit 200)
 def select_k_best_pipeline(spark, sf):
     """As above, on the 200 features that tell the training labels apart best."""
     return _trained(spark, sf, k_best=200)
+
+
+@query("train_hashed_features")
+def train_hashed_features(spark, sf):
+    """Extracted features to a classifier over hashed columns, without a dictionary, applied to every document."""
+    docs, rows = _word_features(spark, sf)
+    known = table(spark, sf, "labels").join(docs.select("doc_id"), "doc_id", "left_semi")
+    split = M.holdout_split(known.select("doc_id", F.col("quality").cast("double").alias("label")), 25)
+    model = FM.train_hashed(split.where(~F.col("is_test")).drop("is_test"), rows, "lr")
+    return model.predict(docs, rows)
