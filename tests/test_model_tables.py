@@ -150,3 +150,33 @@ def test_k_best_in_folds_scores_like_all_when_k_is_large(spark, corpus):
     plain = M.nb_grid_search(corpus, [0.1, 1.0], folds=3, max_df=1.0).collect()
     assert M.nb_grid_search(corpus, [0.1, 1.0], folds=3, max_df=1.0, features=rows, k_best=1000).collect() == plain
     assert M.nb_grid_search(corpus, [1.0], folds=3, max_df=1.0, features=rows, k_best=1).count() == 1
+
+
+def test_no_cell_carries_its_whole_matrix(spark, corpus):
+    """A generator that keeps the array beside what it takes out copies it for each cell: quadratic in the vocabulary."""
+    import re
+
+    def kept(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return {re.sub(r"#\d+", "", name) for names in re.findall(r"Generate [^\n]*?, \[([^\]]*)\], false, \[", plan) for name in names.split(", ") if name}
+
+    fitted = M.classifier_pipeline("lr", max_df=None, max_iter=2).fit(corpus).stages
+    svc = M.classifier_pipeline("lsvc", max_df=None, max_iter=2).fit(corpus).stages
+    saved = [MT._saved(spark, fitted[-1], f"coefficientMatrix {MT._MATRIX}"), MT._saved(spark, svc[-1], f"coefficients {MT._VECTOR}")]
+    assert kept(MT.matrix_table(saved[0], "coefficientMatrix")) <= {"turned", "height"}
+    assert kept(MT.vector_table(saved[1], "coefficients")) == set()
+
+
+def test_a_large_matrix_becomes_a_table_quickly(spark):
+    import time
+
+    width = 200_000
+    frame = spark.range(1).select(F.struct(
+        F.lit(1).cast("tinyint").alias("type"), F.lit(2).alias("numRows"), F.lit(width).alias("numCols"), F.lit(None).cast("array<int>").alias("colPtrs"),
+        F.lit(None).cast("array<int>").alias("rowIndices"), F.transform(F.sequence(F.lit(1), F.lit(2 * width)), lambda x: x.cast("double")).alias("values"),
+        F.lit(True).alias("isTransposed")).alias("m"))
+    path = fresh_path(spark, "matrix")
+    frame.write.parquet(path)
+    start = time.time()
+    got = MT.matrix_table(spark.read.parquet(path), "m").where("value = i * 200000 + j + 1").count()
+    assert got == 2 * width and time.time() - start < 20
