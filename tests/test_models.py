@@ -142,3 +142,101 @@ def test_feature_model_weights_and_unknown_features(spark):
     a, b = (1 + math.log(3)) * (math.log(3 / 2) + 1), 1.0
     assert got[1] == pytest.approx([a / math.hypot(a, b), b / math.hypot(a, b)]) and got[3] == [0.0, 0.0]
     assert {r["doc_id"] for r in model.predict(docs, rows).collect()} == {1, 3}
+
+
+def test_fits_run_side_by_side_while_small():
+    assert M.side_by_side(1000) == 4 and M.side_by_side(M.RUN_BYTES // 16) == 2 and M.side_by_side(10**10) == 1 and M.side_by_side(0) == 4
+
+
+def _points(spark):
+    return spark.range(40).select("id", (F.col("id") % 2).cast("double").alias("label"),
+                                  F.array((F.col("id") % 2).cast("double"), F.col("id") * 0.01).alias("x"))
+
+
+def test_clusters_keep_nothing_but_vectors(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    frame = _points(spark).select(array_to_vector("x").alias("features"), F.when(F.col("id") >= 0, F.raise_error("read")).cast("string").alias("tokens"))
+    assert M.kmeans_fit(frame, 2, restarts=2).summary.trainingCost >= 0
+
+
+def test_large_centres_are_fitted_one_run_at_a_time(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(M, "RUN_BYTES", 1)
+    lock, fit = threading.Lock(), M.KMeans.fit
+
+    def alone(self, frame):
+        assert lock.acquire(blocking=False)
+        try:
+            return fit(self, frame)
+        finally:
+            lock.release()
+
+    monkeypatch.setattr(M.KMeans, "fit", alone)
+    assert M.kmeans_fit(_points(spark).select(array_to_vector("x").alias("features")), 2, restarts=3).getK() == 2
+
+
+def _together(monkeypatch, cls, n):
+    """Each fit waits until n of them have begun: fails where they come one after another."""
+    import threading
+
+    begun, fit = threading.Barrier(n), cls.fit
+
+    def wait(self, frame):
+        begun.wait(30)
+        return fit(self, frame)
+
+    monkeypatch.setattr(cls, "fit", wait)
+
+
+def test_regressions_of_clusters_run_together(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    _together(monkeypatch, M.LogisticRegression, 2)
+    rows = _points(spark).select("id", "label", array_to_vector("x").alias("features"))
+    assert M.one_vs_rest_shares(rows, 2, max_iter=3, carry=("id",)).count() == 40
+
+
+def test_topic_models_of_a_sweep_run_together(corpus, monkeypatch):
+    _together(monkeypatch, M.LDA, 2)
+    rows = M.topic_threshold_sweep(corpus.withColumn("label", F.col("label").cast("int").cast("string")), [2, 3], [50.0], no_below=2.0, no_above=0.5)
+    assert {r["num_topics"] for r in rows.collect()} == {2, 3}
+
+
+def test_shown_words_need_no_vocabulary_on_the_driver(corpus):
+    vocab, lda = M.lda_fit(corpus, 2, no_below=2.0, no_above=0.5, passes=2)
+
+    class Closed:
+        write = vocab.write
+
+    words = vocab.vocabulary
+    shown = M.show_topics(Closed(), lda, 3).collect()
+    want = {(r["topic"], i + 1): words[t] for r in lda.describeTopics(3).collect() for i, t in enumerate(r["termIndices"])}
+    assert {(r["topic"], r["rank"]): r["word"] for r in shown} == want
+
+
+def _without_weights(monkeypatch, cls, seen):
+    """Notes for each fit whether its frame's lineage still has the steps that made the vectors."""
+    fit = cls.fit
+
+    def noted(self, frame):
+        seen.append("UDF" in frame.select("features")._jdf.queryExecution().analyzed().toString())
+        return fit(self, frame)
+
+    monkeypatch.setattr(cls, "fit", noted)
+
+
+def test_fits_do_not_send_the_term_weights_with_each_task(corpus, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    seen = []
+    _without_weights(monkeypatch, M.KMeans, seen)
+    _without_weights(monkeypatch, M.LogisticRegression, seen)
+    rows = corpus.select("doc_id", "tokens", F.col("label").cast("int").alias("cluster"))
+    M.kmeans_fit(Pipeline(stages=M.vector_stages("tfidf", None, None)).fit(rows).transform(rows), 2, restarts=1)
+    M.cluster_classifier(rows, max_iter=2).count()
+    M.model_sweep(corpus, ["lr"], folds=2, max_iter=2)
+    assert seen[:3] == [False] * 3 and not any(seen[3:5])
