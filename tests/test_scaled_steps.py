@@ -1,8 +1,12 @@
 """Steps whose cost a task or the driver must not bear alone."""
 
+import pytest
 from pyspark.ml.feature import CountVectorizer
+from pyspark.sql import functions as F
 
+from postlens.operators import joins as J
 from postlens.operators import models as M
+from postlens.operators.joins import lookup_join
 
 
 def test_a_document_share_is_counted_before_the_vocabulary(spark):
@@ -12,3 +16,15 @@ def test_a_document_share_is_counted_before_the_vocabulary(spark):
         plain = CountVectorizer(inputCol="tokens", outputCol="features", minDF=low, maxDF=high).fit(docs)
         assert sorted(ours.vocabulary) == sorted(plain.vocabulary)
         assert (ours.getMaxDF() == high * 40) == (low >= 1.0)  # a share makes MLlib keep all tokens to count rows
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_much_used_keys_are_not_shuffled(spark, how):
+    words = spark.range(400).select("id", F.explode(F.array(F.lit("the"), F.concat(F.lit("of"), F.col("id") % 3), F.concat(F.lit("w"), "id"), F.lit(None).cast("string"))).alias("w"))
+    known = spark.range(300).select(F.concat(F.lit("w"), "id").alias("w"), F.lit(1).alias("df")).unionByName(
+        spark.createDataFrame([("the", 400), ("of0", 134), ("of1", 133), ("none", 500)], "w string, df int"))
+    got = lookup_join(words, known, ["w"], how, limit_bytes=500, uses="df")
+    assert sorted(map(str, got.collect())) == sorted(map(str, words.join(known, ["w"], how).collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    whole = known.localCheckpoint()
+    assert words.join(whole.where(J._most_used(J.cut_lineage(whole), "df", 500)), ["w"]).count() >= 667
