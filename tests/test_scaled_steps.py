@@ -4,9 +4,12 @@ import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
+from postlens.operators import feature_model as FM
 from postlens.operators import joins as J
 from postlens.operators import models as M
+from postlens.operators import vectorize as V
 from postlens.operators.joins import lookup_join
+from postlens.plans.composed_queries import _word_features
 
 
 def test_a_document_share_is_counted_before_the_vocabulary(spark):
@@ -28,3 +31,22 @@ def test_much_used_keys_are_not_shuffled(spark, how):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
     whole = known.localCheckpoint()
     assert words.join(whole.where(J._most_used(J.cut_lineage(whole), "df", 500)), ["w"]).count() >= 667
+
+
+def test_features_are_packed_with_one_shuffle_and_extracted_once(spark, sf):
+    rows = spark.createDataFrame([(i, f"f{j}", 1.0 + j) for i in range(20) for j in range(i % 4)], "doc_id long, feature string, value double")
+    cells = V.hash_vectorize(rows, 1 << 18)
+    packed = cells.groupBy("doc_id").agg(F.collect_list("column").alias("c"))
+    assert packed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    vectors = {r["doc_id"]: r["features"] for r in FM._vectors(spark.range(20).withColumnRenamed("id", "doc_id"), cells, 1 << 18).collect()}
+    own = {(r["doc_id"], r["column"]): r["value"] for r in cells.collect()}
+    assert {(i, int(c)): x for i, v in vectors.items() for c, x in zip(v.indices, v.values)} == own
+    assert len(vectors) == 20 and all(v.size == 1 << 18 and list(v.indices) == sorted(v.indices) for v in vectors.values())
+    extracted = _word_features(spark, sf)[1]
+    assert "documents.parquet" not in extracted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_column_twice_in_a_document_is_an_error(spark):
+    cells = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0)], "doc_id long, column int, value double")
+    with pytest.raises(Exception, match="stands twice"):
+        FM._vectors(cells.select("doc_id").distinct(), cells, 2).collect()
