@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup_join
 from .common import free_name, partitions_for, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -140,6 +141,15 @@ class Mix:
         self.placed = place_documents(self.sized, self.plan, self.sized.count())
         self.slots = slots_of(spark, self.plan_rows, shards, seed)
 
+    def _once(self, keyed: DataFrame, name: str) -> DataFrame:
+        """The rows with one of each doc_id and text hash, named `name`. Which texts repeat is known from the sizes, so that
+        only rows with such a text are shuffled to drop the others."""
+        twice = self.sized.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("print").alias(name)).distinct()
+        if twice.isEmpty():
+            return keyed
+        rest = lookup_join(keyed, twice, [name], "left_anti")
+        return rest.unionByName(lookup_join(keyed, twice, [name], "left_semi").dropDuplicates(["doc_id", name]))
+
     def report(self) -> DataFrame:
         """<doc_id, size, source_size, target, taken>, a row per input row."""
         placed = stored(self.placed, "placed")
@@ -160,7 +170,7 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """<shard, slot, text>: the mix itself, `block_words` words a slot (a source's last block may be shorter)."""
-        texts = self.docs.select("doc_id", "text", self.print.alias("print")).dropDuplicates(["doc_id", "print"])
+        texts = self._once(self.docs.select("doc_id", "text", self.print.alias("print")), "print")
         spans = self.spans()
         same = spans["doc_id"].eqNullSafe(texts["doc_id"]) & (spans["print"] == texts["print"])
         part = F.slice(words(F.col("text")), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
@@ -176,7 +186,7 @@ class Mix:
         docs = self.docs
         parts_name = free_name(docs, "_parts")
         parts = self.spans().groupBy("doc_id", "print", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias(parts_name))
-        keyed = docs.withColumn("_print", self.print).dropDuplicates(["doc_id", "_print"])
+        keyed = self._once(docs.withColumn("_print", self.print), "_print")
         same = keyed["doc_id"].eqNullSafe(parts["doc_id"]) & (keyed["_print"] == parts["print"])
         all_words = words(F.col("text"))
 
