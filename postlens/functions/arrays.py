@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times inside `body`."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate `value` once and use it many times inside `body`.
+
+    The start of an aggregate over nothing, which its last step takes: other than a transform, it copies neither value nor result.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping substring count."""
-    gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return (gone / F.length(needle)).cast("long")
+    """Non-overlapping substring count, in bytes: these need no pass to be counted, and a text without the needle no copy."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    return F.when(~F.contains(text, needle), F.lit(0)).otherwise(gone / F.octet_length(needle)).cast("long")
 
 
 def value_counts(items: Column) -> Column:

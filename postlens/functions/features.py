@@ -43,6 +43,11 @@ def _member(listed) -> Callable[[Column], Column]:
     return lambda w: w.isin(allowed)
 
 
+def _listed(words: Column, listed: list[str]) -> Column:
+    """The words that a list has, so that tests of its parts read these few instead of the whole text."""
+    return F.filter(words, _member(dict.fromkeys(listed)))
+
+
 def emoticons(text: Column, marks: list[str]) -> Column:
     """`emoticon_<e>`: how often each emoticon occurs, if at all."""
     listed = F.lit([m for m in dict.fromkeys(marks) if m]).cast("array<string>")
@@ -120,9 +125,11 @@ def five_w_one_h(text: Column, mask: str = "111111") -> Column:
 
     def pairs(ws: Column) -> Column:
         n = F.size(ws)
-        share = [_pair(w, F.size(F.filter(ws, _member([w]))) / n) for w in chosen]
-        total = F.size(F.filter(ws, _member(chosen))) if chosen else F.lit(0)
-        return F.when(n > 0, F.array(*share, _pair("dict_5w1h_avg", total / n))).otherwise(_none())
+
+        def shares(hits: Column) -> Column:
+            return F.array(*[_pair(w, F.size(F.filter(hits, _member([w]))) / n) for w in chosen], _pair("dict_5w1h_avg", F.size(hits) / n))
+
+        return F.when(n > 0, let(_listed(ws, chosen), shares)).otherwise(_none())
 
     return let(whitespace_split(F.regexp_replace(F.lower(text), P.QUESTION_BLANKS, " ")), pairs)
 
@@ -140,7 +147,7 @@ def emotion_words(text: Column, lexicon: dict[str, list[str]]) -> Column:
 
     if not lexicon:
         return _if_text(text, F.array(_pair("emo_words_count", F.lit(0))))
-    return _if_text(text, let(whitespace_split(text), pairs))
+    return _if_text(text, let(_listed(whitespace_split(text), [w for v in lexicon.values() for w in v]), pairs))
 
 
 def lexicon_keys(word: Column, lengths: list[int]) -> Column:
@@ -166,7 +173,10 @@ def polarity_words(text: Column, lexicon: dict[str, dict[str, list[str]]], fixed
                  for polarity, kinds in lexicon.items() for kind, v in kinds.items()]
         return F.concat(*parts) if parts else _none()
 
-    return _if_text(text, let(whitespace_split(text), pairs))
+    ws = whitespace_split(text)
+    if not fixed:
+        ws = _listed(ws, [w for kinds in lexicon.values() for v in kinds.values() for w in v])
+    return _if_text(text, let(ws, pairs))
 
 
 def _round4(value: Column) -> Column:

@@ -144,5 +144,5 @@ def vector_tokens(text: Column) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    """True where anything but white space is left."""
-    return text.rlike(rf"[^{P.SPACE}]")
+    """True where anything but white space is left; mostly the first character says so, and the text isn't decoded."""
+    return F.substring(text, 1, 1).rlike(rf"[^{P.SPACE}]") | text.rlike(rf"[^{P.SPACE}]")

@@ -4,6 +4,9 @@ import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
+from postlens.functions import arrays as A
+from postlens.functions import features as X
+from postlens.functions.text import has_text
 from postlens.operators import feature_model as FM
 from postlens.operators import joins as J
 from postlens.operators import models as M
@@ -50,3 +53,28 @@ def test_a_column_twice_in_a_document_is_an_error(spark):
     cells = spark.createDataFrame([(1, 0, 1.0), (1, 0, 2.0)], "doc_id long, column int, value double")
     with pytest.raises(Exception, match="stands twice"):
         FM._vectors(cells.select("doc_id").distinct(), cells, 2).collect()
+
+
+def test_a_value_used_twice_is_not_copied(spark):
+    rows = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "ws array<string>")
+    doubled = rows.select(A.let(F.col("ws"), lambda w: F.concat(w, w)).alias("x"))
+    assert [r["x"] for r in doubled.collect()] == [["a", "b", "a", "b"], [], None]
+    assert "transform(" not in doubled._jdf.queryExecution().analyzed().toString()  # a transform copies all it gives
+
+
+def test_counts_in_a_text_without_the_needle(spark, ev):
+    assert [ev(lambda t: A.occurrences(t, F.lit(n)), x) for x, n in [("aaaa", "aa"), ("aaa", "aa"), ("äaäa", "äa"), ("", "x"), ("so", "x")]] == [2, 1, 2, 0, 0]
+    plan = spark.range(1).select(A.occurrences(F.col("id").cast("string"), F.lit("0")))._jdf.queryExecution().analyzed().toString()
+    assert "contains(" in plan and "char_length" not in plan
+    odd = ["", " ", "\u2003\t", " x", "x", "\x1c", None]
+    seen = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(has_text(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in seen] == [False, False, False, True, True, False, None]
+
+
+def test_listed_words_are_found_in_one_pass(spark):
+    text, lexicon = F.col("t"), {"a": ["x", "y"], "b": ["y", "z"]}
+    rows = spark.createDataFrame([("x y z y other",)], "t string")
+    assert {r["feature"]: r["value"] for r in rows.select(F.inline(X.emotion_words(text, lexicon))).collect()} == {"a": 3, "b": 3, "emo_words_count": 6}
+    assert {r["feature"]: r["value"] for r in rows.select(F.inline(X.polarity_words(text, {"p": {"exact": ["y"], "partial": ["oth"]}}))).collect()} == {"lsd_p_exact_y": 2}
+    assert {r["value"] for r in rows.select(F.inline(X.five_w_one_h(F.lit("who what how x"), "110001"))).collect()} == {0.25, 0.75}
+    assert " IN (x,y,z)" in rows.select(X.emotion_words(text, lexicon))._jdf.queryExecution().analyzed().toString()
