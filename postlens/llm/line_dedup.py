@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .common import BLANK_CHARS, free_name, stored, without
 from .exact_dedup import only_asked
 
@@ -47,7 +48,7 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     blanks = r"[\x20\x09\x0B-\x0D]+"
     even = F.when(value.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(value, blanks, " ")).otherwise(value)
     cut = docs.select(F.col(key).cast("decimal(20,0)").alias("key"), F.xxhash64(value).alias("print"), F.posexplode(F.split(even, "\n")).alias("line", "raw"))
-    lines = cut.withColumn("raw", F.btrim("raw", F.lit(" "))).withColumn("n", _count("raw", " "))
+    lines = cut.withColumn("raw", F.trim("raw")).withColumn("n", _count("raw", " "))
     place = (F.coalesce("key", _number(BEFORE_ALL)) * F.lit(LINES_OF_TEXT).cast("decimal(10,0)") + F.col("line")).cast("decimal(32,0)")
     return lines.where(F.col("n") >= LEAST_WORDS).select(place.alias("place"), "print", "line", "n", F.xxhash64(F.lit(1), "raw").alias("h1"),
                                                          F.xxhash64(F.lit(2), "raw").alias("h2"), "raw")
@@ -211,16 +212,21 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts:
     gone = stored(repeated_lines(docs, key, text), "repeated")
     number = ((F.col("place") - F.col("line")) / F.lit(LINES_OF_TEXT).cast("decimal(10,0)")).cast("decimal(20,0)")
     per_text = stored(gone.groupBy(number.alias("key"), "print").agg(F.array_sort(F.collect_list("line")).alias("lines")), "changes")
-    mark, lines = free_name(docs, "_key"), F.split(F.col(text), "\n")
+    mark = free_name(docs, "_key")
     ready = without(docs, *counts).withColumn(mark, F.coalesce(F.col(key).cast("decimal(20,0)"), _number(BEFORE_ALL)))
     asked = per_text.select(F.col("key").alias(mark)).distinct()
     counted = lambda rows: rows.withColumn(n_lines, F.coalesce(_count(text, "\n"), F.lit(0)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
     touched = counted(only_asked(ready, asked, [mark]))
     own = F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit("")))
     cut = touched.alias("d").join(per_text.alias("p"), (F.col(f"d.{mark}") == F.col("p.key")) & (own == F.col("p.print")), "left")
-    ends = F.concat(F.array(F.lit(-1)), F.col("p.lines"), F.array(F.size(lines)))
-    runs = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda j: F.slice(lines, F.get(ends, j - 1) + 2, F.get(ends, j) - F.get(ends, j - 1) - 1))
-    changed = F.when(F.col("p.lines").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.flatten(runs), "\n"))
+
+    def without_lines(lines: Column) -> Column:
+        ends = F.concat(F.array(F.lit(-1)), F.col("p.lines"), F.array(F.size(lines)))
+        return let(ends, lambda e: F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.slice(
+            lines, F.get(e, j - 1) + 2, F.get(e, j) - F.get(e, j - 1) - 1))), "\n"))
+
+    # cut once, not once for each line that goes
+    changed = F.when(F.col("p.lines").isNull(), F.col(f"d.{text}")).otherwise(let(F.split(F.col(f"d.{text}"), "\n"), without_lines))
     dropped = F.coalesce(F.size("p.lines"), F.lit(0)).cast("long")
     after = cut.select(*[changed.alias(c) if c == text else dropped.alias(c) if c == n_dropped else F.col(f"d.{c}").alias(c)
                          for c in touched.columns if c != mark])
