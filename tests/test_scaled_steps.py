@@ -78,3 +78,16 @@ def test_listed_words_are_found_in_one_pass(spark):
     assert {r["feature"]: r["value"] for r in rows.select(F.inline(X.polarity_words(text, {"p": {"exact": ["y"], "partial": ["oth"]}}))).collect()} == {"lsd_p_exact_y": 2}
     assert {r["value"] for r in rows.select(F.inline(X.five_w_one_h(F.lit("who what how x"), "110001"))).collect()} == {0.25, 0.75}
     assert " IN (x,y,z)" in rows.select(X.emotion_words(text, lexicon))._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_topic_model_keeps_vectors_alone(spark, monkeypatch):
+    kept = []
+
+    class Noted:
+        def fit(self, vectors):
+            kept.append((vectors.columns, vectors.storageLevel.useMemory, vectors.count()))
+
+    monkeypatch.setattr(M, "topic_model", lambda *_: Noted())
+    docs = spark.createDataFrame([(i, ["a", f"w{i % 2}"]) for i in range(8)], "doc_id long, tokens array<string>")
+    M.lda_fit(docs, 2, no_below=1.0, no_above=0.9)
+    assert kept == [(["features"], True, 8)]
