@@ -24,18 +24,14 @@ MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.3, 0.4
 BASE_WORDS, BASE_REPEAT = 50, 50  # fewer words fail; more than this per cent in repeated windows fail
 WINDOW = 3
 CANDIDATES, MOST_CANDIDATES, TRACKED = 28, 224, 8192  # words per language, and counters of the summary (a power of two)
-#: Character classes by what is not in them, in any script; what is in none is the last class.
-OUTSIDE = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "letter": r"[^\p{Lo}\p{Lm}\p{Lt}\p{M}]+", "digit": r"[^\p{Nd}]+",
-           "blank": r"[^\x20\x09-\x0D]+", "stop": "[^.,;:!?'\"()-]+", "symbol": "[^#*$%&|<>]+"}
+#: Character classes, apart from one another, in any script; what is in none is the last class.
+CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "letter": r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+", "digit": r"\p{Nd}+",
+           "blank": r"[\x20\x09-\x0D]+", "stop": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+"}
 #: The same for ASCII texts, which need no tables; None where ASCII has nothing of the class.
-ASCII_OUTSIDE = {**OUTSIDE, "lower": "[^a-z]+", "upper": "[^A-Z]+", "letter": None, "digit": "[^0-9]+"}
+ASCII_CLASSES = {**CLASSES, "lower": "[a-z]+", "upper": "[A-Z]+", "letter": None, "digit": "[0-9]+"}
 BROADCAST_LANGUAGES = 10_000
 
 
-def count_of(text: Column, outside: str) -> Column:
-    return F.char_length(F.regexp_replace(text, outside, "")).cast("long")
-
-
 def repeated_words(found: Column) -> Column:
     """Words that lie in a WINDOW-word window found at least twice; windows are sorted by hash and compared with neighbours."""
 
@@ -67,14 +63,21 @@ def repeated_lines(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """Array of the characters of each class and, last, of none."""
+    """Array of the characters of each class and, last, of none.
+
+    Classes are taken out one after another, so all but the first look at the little that is left.
+    """
+    length = lambda x: F.char_length(x).cast("long")
 
-    def counts(outside: dict[str, str | None]) -> Column:
-        return F.array(*[F.lit(0).cast("long") if o is None else count_of(text, o) for o in outside.values()])
+    def counts(left: Column, classes: list[str | None], found: tuple[Column, ...] = ()) -> Column:
+        if not classes:
+            return F.array(*found, length(left))
+        if classes[0] is None:
+            return counts(left, classes[1:], (*found, F.lit(0).cast("long")))
+        return let(F.regexp_replace(left, classes[0], ""), lambda rest: counts(rest, classes[1:], (*found, length(left) - length(rest))))
 
     plain = F.octet_length(text) == F.char_length(text)
-    inside = F.when(plain, counts(ASCII_OUTSIDE)).otherwise(counts(OUTSIDE))
-    return let(inside, lambda a: F.concat(a, F.array(F.char_length(text).cast("long") - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
+    return F.when(plain, counts(text, list(ASCII_CLASSES.values()))).otherwise(counts(text, list(CLASSES.values())))
 
 
 def candidates(rows: DataFrame, most: int) -> DataFrame:
@@ -116,7 +119,7 @@ def _references(measured: DataFrame, cand: DataFrame, most: int) -> DataFrame:
 
     Common words are those with the most occurrences; ties go by code point. The word histogram ends with all other words.
     """
-    width = len(OUTSIDE) + 1
+    width = len(CLASSES) + 1
     sums = measured.where("_hist is not null").groupBy("_lang").agg(
         F.sum("n_words").alias("_all"), F.array(*[F.sum(F.get("_classes", F.lit(i))) for i in range(width)]).alias("_ref_classes"),
         F.array(*[F.coalesce(F.sum(F.get("_hist", F.lit(i))), F.lit(0)).cast("long") for i in range(most)]).alias("_sums"))
@@ -170,7 +173,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     judged = (F.col("n_words") >= LEAST_WORDS) & F.col("_ref").isNotNull()
     own = F.transform("_places", lambda i: F.get("_hist", i).cast("long"))
     hist = let(own, lambda a: F.concat(a, F.array(F.col("n_words") - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
-    names = list(OUTSIDE)
+    names = list(CLASSES)
     out = out.withColumns({
         "word_chars": F.col("_chars") - F.get("_classes", F.lit(names.index("blank"))),
         "n_symbols": F.get("_classes", F.lit(names.index("symbol"))),
