@@ -145,29 +145,32 @@ def _by_left_out(items: DataFrame) -> DataFrame:
 
 
 def _within_an_edit(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """<h1, h2> of lines with an earlier one within an edit. `keys` are those of all distinct lines, `lines` have their words."""
+    """<h1, h2> of lines with an earlier one within an edit. `keys` are those of all distinct lines, `lines` have their words.
+
+    Each round's findings are stored: one plan over all rounds would be planned anew, whole, as each of its stages ends.
+    """
     counts = _shared(keys)
     keys = stored(only_asked(keys, counts, ["seg"]).join(counts.select("seg"), "seg"), "keys")
     asked = stored(keys.select("h1", "h2").distinct(), "asked")
     again = only_asked(lines.select("h1", "h2", "raw"), asked, ["h1", "h2"])
     once = again.join(asked, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("raw").alias("raw"))
     words = stored(once.select("h1", "h2", F.split("raw", " ").alias("words")), "words")
-    pairs, gone = [_pairs(keys, counts)], []
+    pairs, gone = [stored(_pairs(keys, counts), "pairs")], []
     crowded = keys.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg")
     items = crowded.join(words, ["h1", "h2"])
     while True:
         left = F.slice("words", F.col("from") + 1, F.col("left"))
         items = stored(items.select("h1", "h2", "first", "seg", "role", "base", left.alias("words")), "crowded")
-        gone.append(_by_left_out(items.where(F.col("base") <= SHORT)))
+        gone.append(stored(_by_left_out(items.where(F.col("base") <= SHORT)), "left-out"))
         longer = items.where(F.col("base") > SHORT)
         if longer.isEmpty():
             break
         parts = F.array(*_keys(F.col("words"), F.size("words"), F.col("base"), F.col("role"), F.col("seg")))
         split = stored(longer.select("h1", "h2", "first", "words", F.inline(parts)), "split")
         counts = _shared(split)
-        pairs.append(_pairs(split, counts))
+        pairs.append(stored(_pairs(split, counts), "pairs"))
         items = split.join(counts.where(F.col("n") > CROWDED).select("seg"), "seg")
-    found = stored(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    found = reduce(DataFrame.unionByName, pairs).distinct()
     other = words.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
     full = found.join(words, ["h1", "h2"]).join(other, ["g1", "g2"])
     near = full.where(banded_distance_within(F.col("words"), F.col("other"))).select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
