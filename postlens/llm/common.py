@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import shutil
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from ..session import send_package as ship  # noqa: F401
 
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -71,23 +69,3 @@ def slim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not every C library has it
         pass
-
-
-ARROW_BYTES = 8 << 20  # of a batch that goes to a Python worker
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that their Python workers can import it.
-
-    Batches to Python workers are held to ARROW_BYTES, so that long texts don't fill an executor.
-    """
-    sc = spark.sparkContext
-    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    if not limit.rstrip("b").isdigit() or int(limit.rstrip("b")) > ARROW_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    if getattr(sc, "_postlens_sent", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="postlens-code-")  # read by the driver's own file server only
-    sc.addPyFile(shutil.make_archive(os.path.join(folder, "postlens_code"), "zip", os.path.dirname(package), os.path.basename(package)))
-    sc._postlens_sent = True
