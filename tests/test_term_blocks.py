@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postlens.operators import models as M
 from postlens.operators import term_blocks as T
@@ -81,6 +82,29 @@ def test_an_empty_cluster_goes_on_from_the_farthest_document(spark, monkeypatch)
     assert len({(r["tokens"][0], r["cluster"]) for r in rows}) == 3
 
 
+def test_shares_are_those_of_the_exact_regressions(spark, few):
+    rows = [(d, t, int(d % 3)) for d, t in _docs()]
+    frame = spark.createDataFrame(rows, "doc_id long, tokens array<string>, cluster int").repartition(3)
+    got = M.cluster_classifier(frame).collect()
+    assert got[0].asDict().keys() == {"doc_id", "tokens", "cluster", "dist"} and len(got) == len(rows)
+    x, label, n = _dense([r["tokens"] for r in got]), np.array([r["cluster"] for r in got]), len(got)
+    each = []
+    for k in range(3):
+        y, a, w = (label == k) * 1.0, np.c_[x, np.ones(n)], np.zeros(x.shape[1] + 1)
+        reg = np.r_[np.ones(x.shape[1]) / n, 0]
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve((a.T * (p * (1 - p))) @ a / n + np.diag(reg), a.T @ (p - y) / n + reg * w)
+        each.append(1 / (1 + np.exp(-a @ w)))
+    want = np.stack(each, axis=1)
+    assert np.abs(np.stack([r["dist"] for r in got]) - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_a_single_class_has_all(spark):
+    got = T.cluster_shares(_frame(spark, _docs(10)).withColumn("cluster", F.lit(1)), "cluster").collect()
+    assert all(r["dist"] == [0.0, 1.0] for r in got)
+
+
 def test_a_short_vocabulary_is_known_from_a_long_one(spark, monkeypatch):
     frame = _frame(spark, _docs())
     assert not M.many_terms(frame)
